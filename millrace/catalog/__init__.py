@@ -5,7 +5,7 @@ from importlib import import_module
 
 from millrace.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ("corpus",)
+FAMILIES = ("corpus", "finetune", "scores", "retrieval", "runs", "features")
 
 
 def _load() -> None:
