@@ -209,12 +209,12 @@ def trend(spark, sf_dir):
 
 @query("recommendation", f"""
 with {ADVICE}
-select run_id, advice, note, round(active_lr, 9) as active_lr,
-       round(suggested_lr, 9) as suggested_lr from advised""")
+select run_id, advice, note, round(active_lr, 12) as active_lr,
+       round(suggested_lr, 12) as suggested_lr from advised""")
 def recommendation(spark, sf_dir):
     return advice(spark, sf_dir).select(
-        "run_id", "advice", "note", F.round("active_lr", 9).alias("active_lr"),
-        F.round("suggested_lr", 9).alias("suggested_lr"))
+        "run_id", "advice", "note", F.round("active_lr", 12).alias("active_lr"),
+        F.round("suggested_lr", 12).alias("suggested_lr"))
 
 
 @query("eta", f"with {ADVICE} select run_id, eta_s from advised")

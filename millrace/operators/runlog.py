@@ -375,13 +375,20 @@ def advise(log: DataFrame, target: int | None = None, override_lr: float | None
     return coded.withColumn("suggested_lr", recommended_lr(F.col("advice"), F.col("active_lr")))
 
 
-def _number(value: Column, pattern: str) -> Column:
-    return F.format_string(pattern, value)
+def _fixed(value: Column, places: int, commas: bool = False, sign: bool = False) -> Column:
+    """Fixed-point text; ties go to even, on the exact binary value."""
+    text = F.format_number(value, places)
+    if not commas:
+        text = F.replace(text, F.lit(","), F.lit(""))
+    if sign:
+        text = F.when(F.startswith(text, F.lit("-")), text).otherwise(F.concat(F.lit("+"), text))
+    return (F.when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+            .otherwise(text))
 
 
 def _loss_text(loss: Column) -> Column:
-    text = F.concat(_number(loss, "%.4f"), F.lit(" (ppl "),
-                    _number(perplexity_or_inf(loss), "%.2f"), F.lit(")"))
+    text = F.concat(_fixed(loss, 4), F.lit(" (ppl "), _fixed(perplexity_or_inf(loss), 2),
+                    F.lit(")"))
     return F.when(loss.isNull() | F.isnan(loss), F.lit("NaN")).otherwise(text)
 
 
@@ -397,23 +404,23 @@ def _clock(seconds: Column) -> Column:
 
 def report(advice: DataFrame, target: int | None = None) -> DataFrame:
     """One row of formatted lines per run."""
-    step_text = _number(F.col("step"), "%,d")
+    step_text = F.format_number("step", 0)
     if target:
         step_text = F.concat(step_text, F.lit(f" / {target:,} ("),
-                             _number(F.col("progress") * 100, "%.1f"), F.lit("%)"))
+                             _fixed(F.col("progress") * 100, 1), F.lit("%)"))
     telemetry = F.concat_ws(
         " | ",
-        F.when(F.col("vram_mb") != 0, F.concat(F.lit("VRAM: "), _number(F.col("vram_mb"), "%,.0f"),
+        F.when(F.col("vram_mb") != 0, F.concat(F.lit("VRAM: "), _fixed(F.col("vram_mb"), 0, commas=True),
                                                F.lit(" MB"))),
         F.when(F.col("throughput_tok_s") != 0,
-               F.concat(F.lit("Speed: "), _number(F.col("throughput_tok_s"), "%,.0f"),
+               F.concat(F.lit("Speed: "), _fixed(F.col("throughput_tok_s"), 0, commas=True),
                         F.lit(" tok/s"))),
         F.when(F.col("tokens_seen") != 0,
-               F.concat(F.lit("Tokens Seen: "), _number(F.col("tokens_seen") / 1e6, "%,.1f"),
+               F.concat(F.lit("Tokens Seen: "), _fixed(F.col("tokens_seen") / 1e6, 1, commas=True),
                         F.lit("M"))))
     slope_text = F.concat(
-        _number(F.col("rel_slope"), "%+.2f"), F.lit("% change per 1,000 steps ("),
-        _number(F.col("slope_per_1k"), "%+.4f"), F.lit(" loss/1k)"))
+        _fixed(F.col("rel_slope"), 2, sign=True), F.lit("% change per 1,000 steps ("),
+        _fixed(F.col("slope_per_1k"), 4, sign=True), F.lit(" loss/1k)"))
     changed = F.col("suggested_lr") != F.col("active_lr")
     return advice.select(
         "run_id", step_text.alias("current_step"),
@@ -423,9 +430,9 @@ def report(advice: DataFrame, target: int | None = None) -> DataFrame:
         F.when(F.col("val_points") > 0, _loss_text(F.col("best_val"))).alias("best_val"),
         telemetry.alias("telemetry"), _clock(F.col("eta_s")).alias("eta"),
         stage_title(F.col("stage")).alias("stage"),
-        _number(F.col("gap"), "%+.4f").alias("gap"), "verdict",
+        _fixed(F.col("gap"), 4, sign=True).alias("gap"), "verdict",
         F.when(F.col("points") >= TREND_POINTS, slope_text).alias("trend"),
         F.when(F.col("points") >= TREND_POINTS,
-               F.concat(_number(F.col("noise") * 100, "%.2f"), F.lit("%"))).alias("noise"),
+               F.concat(_fixed(F.col("noise") * 100, 2), F.lit("%"))).alias("noise"),
         "advice", "note",
         F.when(changed, F.col("suggested_lr")).alias("suggested_lr"), "next_steps")

@@ -10,8 +10,9 @@ from millrace.operators.ordered import before
 RUN_LOG = ("step BIGINT, lr DOUBLE, train_loss DOUBLE, avg_stage_loss DOUBLE, best_loss DOUBLE, "
            "val_loss DOUBLE, val_ppl DOUBLE, best_val_loss DOUBLE, tokens_seen BIGINT, "
            "vram_mb DOUBLE, throughput_tok_s DOUBLE, time TIMESTAMP")
-# Fixed value: the ending of log file names.
+# The ending of log file names, and ISO-8601 time.
 LOG_NAME = "_log.jsonl"
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
@@ -47,4 +48,5 @@ def append_run_log(entries: DataFrame, folder: str) -> None:
     stamp = F.current_timestamp()
     timed = (F.coalesce(F.col("time").cast("timestamp"), stamp)
              if "time" in entries.columns else stamp)
-    entries.withColumn("time", timed).write.mode("append").option("timeZone", "UTC").json(folder)
+    (entries.withColumn("time", timed).write.mode("append").option("timeZone", "UTC")
+     .option("timestampFormat", TIME_FORMAT).json(folder))
