@@ -5,7 +5,7 @@ from importlib import import_module
 
 from millrace.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ("corpus", "finetune", "scores", "retrieval", "runs", "features")
+FAMILIES = ("corpus", "finetune", "tokens", "scores", "retrieval", "runs", "features", "streams")
 
 
 def _load() -> None:

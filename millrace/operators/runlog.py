@@ -399,7 +399,8 @@ def _clock(seconds: Column) -> Column:
     clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60),
                             rest % 60)
     word = F.when(days == 1, " day, ").otherwise(" days, ")
-    return F.when(days > 0, F.concat(days.cast("string"), word, clock)).otherwise(clock)
+    long = F.when(days > 0, F.concat(days.cast("string"), word, clock)).otherwise(clock)
+    return F.when(seconds.isNotNull(), long)
 
 
 def report(advice: DataFrame, target: int | None = None) -> DataFrame:
