@@ -77,8 +77,8 @@ select count(*) as docs, cast(sum(len(ids)) as bigint) as tokens,
        cast(max(len(ids)) as bigint) as longest from words""")
 def counts(spark, sf_dir):
     return word_documents(spark, sf_dir).agg(
-        F.count("*").alias("docs"), F.sum(F.size("token_ids")).alias("tokens"),
-        F.max(F.size("token_ids")).cast("bigint").alias("longest"))
+        F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"),
+        F.max("n_tokens").cast("bigint").alias("longest"))
 
 
 @query("corpus_progress", f"""
@@ -89,7 +89,7 @@ select batch, cast(sum(d) over w as bigint) as docs_done, cast(sum(t) over w as
   as tokens_done, batch % 5 = 0 as shown
 from b window w as (order by batch)""")
 def progress(spark, sf_dir):
-    docs = word_documents(spark, sf_dir).select("doc_seq", F.size("token_ids").alias("n_tokens"))
+    docs = word_documents(spark, sf_dir).select("doc_seq", "n_tokens")
     return clean.corpus_progress(docs, batch=64, every=5)
 
 
@@ -105,7 +105,7 @@ pieces as (
 
 def split_words(spark, sf_dir):
     docs = word_documents(spark, sf_dir)
-    lengths = docs.select(F.size("token_ids").alias("n_tokens"))
+    lengths = docs.select("n_tokens")
     return pack.split_stream(pack.pack(docs), lengths, FRACTION, LENGTH)
 
 
@@ -139,7 +139,7 @@ def pack_stream(spark, sf_dir):
 @query("split_stream", f"""
 with {SPLIT}
 select split, doc_seq, cast(min(pos) as bigint) as start_pos, cast(count(*) as int) as n_tokens,
-       string_agg(cast(tok as varchar), ',' order by pos) as ids
+       cast(list(tok order by pos) as varchar) as ids
 from pieces group by split, doc_seq""")
 def split_stream(spark, sf_dir):
     return split_words(spark, sf_dir).select("split", "doc_seq", "start_pos", "n_tokens",
@@ -190,7 +190,7 @@ def sliding_windows(spark, sf_dir):
 @query("strided_windows", f"""
 with {STREAM}
 select pos // {LENGTH + 1} * {LENGTH + 1} as start,
-       string_agg(cast(tok as varchar), ',' order by pos) as w
+       cast(list(tok order by pos) as varchar) as w
 from stream group by 1 having count(*) = {LENGTH + 1}""")
 def strided_windows(spark, sf_dir):
     made = pack.windows(pack.pack(word_documents(spark, sf_dir)), LENGTH, LENGTH + 1)
@@ -206,7 +206,7 @@ draws as (
 
 def drawn(spark, sf_dir):
     docs = word_documents(spark, sf_dir)
-    lengths = docs.select(F.size("token_ids").alias("n_tokens"))
+    lengths = docs.select("n_tokens")
     starts = pack.draw_starts(spark.range(20), pack.stream_length(lengths) - LENGTH, 16, 1337)
     return pack.sampled_windows(pack.pack(docs), starts, LENGTH)
 
@@ -214,7 +214,7 @@ def drawn(spark, sf_dir):
 @query("sampled_windows", f"""
 with {DRAWS}
 select step, cast(row as int) as row, start,
-       string_agg(cast(tok as varchar), ',' order by pos) as w
+       cast(list(tok order by pos) as varchar) as w
 from draws join stream on pos between start and start + {LENGTH} group by 1, 2, 3""")
 def sampled_windows(spark, sf_dir):
     return drawn(spark, sf_dir).select("step", "row", "start", joined("w").alias("w"))
@@ -223,8 +223,8 @@ def sampled_windows(spark, sf_dir):
 @query("shifted_pairs", f"""
 with {DRAWS}
 select step, cast(row as int) as row, start,
-  string_agg(cast(tok as varchar), ',' order by pos) filter (pos < start + {LENGTH}) as x,
-  string_agg(cast(tok as varchar), ',' order by pos) filter (pos > start) as y
+  cast(list(tok order by pos) filter (pos < start + {LENGTH}) as varchar) as x,
+  cast(list(tok order by pos) filter (pos > start) as varchar) as y
 from draws join stream on pos between start and start + {LENGTH} group by 1, 2, 3""")
 def shifted_pairs(spark, sf_dir):
     pairs = pack.shifted(drawn(spark, sf_dir), LENGTH)

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def joined(array: Column | str) -> Column:
     """Array as text, the same in both engines."""
-    return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
+    return (F.col(array) if isinstance(array, str) else array).cast("string")
 
 
 def rounded(value: Column | str) -> Column:
@@ -49,12 +49,12 @@ def hash_sql(*parts: str) -> str:
 
 
 def word_ids_sql(x: str) -> str:
-    return (f"list_transform(string_split({x}, ' '), "
-            "lambda w: cast('0x' || substr(md5(w), 1, 4) as int) + 1)")
+    return (f"list_transform(string_split({x}, ' '), lambda w: cast("
+            "(ascii(w) * 8191 + ascii(right(w, 1)) * 127 + length(w)) % 65536 + 1 as int))")
 
 
 def joined_sql(x: str) -> str:
-    return f"array_to_string({x}, ',')"
+    return f"cast({x} as varchar)"
 
 
 def rounded_sql(x: str) -> str:

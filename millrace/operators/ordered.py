@@ -17,6 +17,13 @@ def chunk_of(column: str, size: int = CHUNK) -> Column:
     return F.expr(f"`{column}` div {size}")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an input that comes in too few pieces (one small file);
+    an input of many pieces stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def before(df: DataFrame, keys: list[str], chunk: Column, order: list[str | Column],
            sums: dict[str, Column] | None = None, minima: dict[str, Column] | None = None,
            previous: dict[str, Column] | None = None, split_chunks: bool = True) -> DataFrame:

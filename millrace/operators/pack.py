@@ -17,17 +17,18 @@ def append_eot(docs: DataFrame, eot: int) -> DataFrame:
 def pack(docs: DataFrame) -> DataFrame:
     """Place documents one after the other: adds `n_tokens` and `start_pos`.
 
-    `docs` is read twice (once only for lengths); give it a written table when
-    making `token_ids` is dear.
+    `docs` is read twice, once only for lengths: give it a written table when
+    making `token_ids` is dear, or an `n_tokens` column that is cheaper to make.
     """
-    sized = docs.withColumn("n_tokens", F.size("token_ids"))
+    sized = docs if "n_tokens" in docs.columns else docs.withColumn("n_tokens",
+                                                                    F.size("token_ids"))
     return before(sized, [], chunk_of("doc_seq"), ["doc_seq"],
                   {"start_pos": F.col("n_tokens").cast("bigint")})
 
 
-def stream_length(packed: DataFrame) -> Column:
-    """Scalar: tokens in the whole stream."""
-    return packed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint")).scalar()
+def stream_length(docs: DataFrame) -> Column:
+    """Scalar: tokens in the whole stream of `docs(n_tokens)`."""
+    return docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint")).scalar()
 
 
 def split_stream(packed: DataFrame, docs: DataFrame, fraction: float, length: int) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import doubles
-from millrace.functions.text import word_ids
+from millrace.functions.text import word_ids, words
 from millrace.operators.clean import clean
-from millrace.operators.ordered import before, chunk_of
+from millrace.operators.ordered import before, chunk_of, spread
 from millrace.operators.pack import append_eot
 from millrace.sources.corpus import read_corpus
 
@@ -20,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(read_corpus(table(spark, sf_dir, "documents")))
+    return clean(spread(read_corpus(table(spark, sf_dir, "documents")), "doc_seq"))
 
 
 def word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned documents as stand-in word tokens with the end marker."""
     docs = clean_documents(spark, sf_dir)
-    return append_eot(docs.select("doc_seq", word_ids(F.col("text")).alias("token_ids")), WORD_EOT)
+    text = F.col("text")
+    made = docs.select("doc_seq", (F.size(words(text)) + 1).alias("n_tokens"),
+                       word_ids(text).alias("token_ids"))
+    return append_eot(made, WORD_EOT)
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
