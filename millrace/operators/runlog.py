@@ -33,6 +33,9 @@ EXTENSION = 5000
 MEAN_FLOOR = 1e-6
 MIN_SECONDS = 1e-4
 
+# Lines of one run that are joined to per-run values in one piece.
+SEGMENT = 2 ** 20
+
 
 def skip_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
@@ -47,6 +50,18 @@ def below(x: Column, limit: float) -> Column:
     return F.coalesce(~F.isnan(x) & (x < limit), F.lit(False))
 
 
+def on_lines(lines: DataFrame, per_run: DataFrame) -> DataFrame:
+    """Join per-run values (with `last_line`) to the lines of each run.
+
+    A run of more than `SEGMENT` lines is joined in segments, so that one huge
+    run is spread over many tasks; short runs are joined as usual.
+    """
+    last = F.expr(f"last_line div {SEGMENT}")
+    pieces = per_run.withColumn("_segment", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return (lines.withColumn("_segment", chunk_of("line_no", SEGMENT))
+            .join(pieces.drop("last_line"), ["run_id", "_segment"]).drop("_segment"))
+
+
 # --- latest, best, gap ------------------------------------------------------
 
 def latest_and_best(log: DataFrame) -> DataFrame:
@@ -61,9 +76,10 @@ def latest_and_best(log: DataFrame) -> DataFrame:
         F.min(skip_nan(F.col("train_loss"))).alias("best_train"),
         F.min(skip_nan(F.col("val_loss"))).alias("best_val"),
         F.count(F.when(has_train, 1)).alias("train_points"),
-        F.count(F.when(has_val, 1)).alias("val_points"))
+        F.count(F.when(has_val, 1)).alias("val_points"),
+        F.max("line_no").alias("last_line"))
     return out.select(
-        "run_id", "last.*", F.col("last_val.val_loss").alias("latest_val"),
+        "run_id", "last_line", "last.*", F.col("last_val.val_loss").alias("latest_val"),
         F.col("last_val.step").alias("latest_val_step"), "best_train", "best_val",
         "train_points", "val_points").withColumnRenamed("train_loss", "latest_train")
 
@@ -75,8 +91,8 @@ def reference_loss(latest_val: Column, latest_train: Column) -> Column:
 def generalization_gap(log: DataFrame, latest: DataFrame) -> DataFrame:
     """`(run_id, gap)`: last validation loss less the last train loss (line order)
     at or before its step; null when there is none."""
-    at = latest.select("run_id", "latest_val", "latest_val_step")
-    matched = log.where(F.col("train_loss").isNotNull()).join(at, "run_id")
+    at = latest.select("run_id", "last_line", "latest_val", "latest_val_step")
+    matched = on_lines(log.where(F.col("train_loss").isNotNull()), at)
     train = F.max_by("train_loss", F.when(F.col("step") <= F.col("latest_val_step"),
                                           F.col("line_no")))
     gaps = matched.groupBy("run_id").agg(train.alias("matched_train"),
@@ -139,14 +155,15 @@ def recent_points(log: DataFrame) -> DataFrame:
     from chunk counts, so one run may be of any length.
     """
     sizes = log.groupBy("run_id").agg(
-        F.count("val_loss").alias("n_val"), F.count("train_loss").alias("n_train"))
+        F.count("val_loss").alias("n_val"), F.count("train_loss").alias("n_train"),
+        F.max("line_no").alias("last_line"))
     chosen = sizes.select(
-        "run_id", F.when(F.col("n_val") >= TREND_POINTS, "val").otherwise("train").alias("series"),
+        "run_id", "last_line", F.when(F.col("n_val") >= TREND_POINTS, "val").otherwise("train").alias("series"),
         F.when(F.col("n_val") >= TREND_POINTS, F.col("n_val")).otherwise(F.col("n_train"))
         .alias("n_series"))
     value = F.when(F.col("series") == "val", F.col("val_loss")).otherwise(F.col("train_loss"))
-    points = (log.select("run_id", "line_no", "step", "train_loss", "val_loss")
-              .join(chosen, "run_id").where(value.isNotNull()))
+    lines = log.select("run_id", "line_no", "step", "train_loss", "val_loss")
+    points = on_lines(lines, chosen).where(value.isNotNull())
     ranked = before(points, ["run_id"], -chunk_of("line_no"), [F.col("line_no").desc()],
                     {"from_end": F.lit(1)})
     size = F.greatest(F.lit(TREND_POINTS), F.expr("n_series div 3"))
@@ -241,8 +258,9 @@ def throughput(log: DataFrame) -> DataFrame:
                    chunk_of("line_no"), ["line_no"],
                    previous={"prior": F.struct("time", "tokens_seen")})
     start = log.groupBy("run_id").agg(
-        F.min_by(F.struct("time", "tokens_seen"), "line_no").alias("start"))
-    timed = prior.where(F.col("prior").isNotNull()).join(start, "run_id")
+        F.min_by(F.struct("time", "tokens_seen"), "line_no").alias("start"),
+        F.max("line_no").alias("last_line"))
+    timed = on_lines(prior.where(F.col("prior").isNotNull()), start)
     window_s = F.expr("timestampdiff(MICROSECOND, prior.time, time)") / 1e6
     total_s = F.expr("timestampdiff(MICROSECOND, start.time, time)") / 1e6
     overall = (F.col("tokens_seen") - F.col("start.tokens_seen")) / F.greatest(
@@ -353,7 +371,7 @@ def advise(log: DataFrame, target: int | None = None, override_lr: float | None
     """One row per run with everything the report needs, as typed columns."""
     latest = latest_and_best(log)
     trends = trend(recent_points(log))
-    joined = (latest.join(generalization_gap(log, latest), "run_id", "left")
+    joined = (latest.drop("last_line").join(generalization_gap(log, latest), "run_id", "left")
               .join(validation_trend(log), "run_id", "left")
               .join(trends, "run_id", "left"))
     progress = F.col("step") / F.lit(target) if target else F.lit(None).cast("double")

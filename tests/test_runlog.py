@@ -90,6 +90,19 @@ def test_recent_window_and_trend(spark, n):
     assert got.noise == pytest.approx(np.std(y - (slope * x + base)) / y.mean(), rel=1e-6)
 
 
+def test_joins_in_segments_change_nothing(spark, monkeypatch):
+    points = [(float(i % 13), float(i % 7) if i % 3 else None) for i in range(400)]
+    table = log(spark, a=points, b=points[:9])
+
+    def facts():
+        gaps = runlog.generalization_gap(table, runlog.latest_and_best(table))
+        return sorted(map(str, gaps.collect() + runlog.recent_points(table).collect()))
+
+    whole = facts()
+    monkeypatch.setattr(runlog, "SEGMENT", 16)
+    assert facts() == whole
+
+
 def test_one_long_run_is_cut_into_chunks(spark):
     points = [(float(i % 97), None) for i in range(9000)]
     table = log(spark, a=points)
