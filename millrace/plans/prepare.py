@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import tokenize
 from millrace.operators.clean import clean, sample_documents
+from millrace.operators.ordered import spread
 from millrace.operators.pack import append_eot, pack, split_stream
 from millrace.session import path_exists, written
 from millrace.sources.cache import read_vocab, write_tokens, write_vocab
@@ -41,7 +42,7 @@ def prepare_corpus(spark: SparkSession, raw: DataFrame, root: str, signature: st
     documents are written once, since packing reads them twice.
     """
     def make() -> DataFrame:
-        docs = clean(raw)
+        docs = clean(spread(raw, "doc_seq"))
         _, merges = build_or_load_tokenizer(docs, root, vocab_size)
         encoded = tokenize.encode(docs, merges).select("doc_seq", "token_ids")
         if with_eot:

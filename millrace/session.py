@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder the cluster shares (`spark.checkpoint.dir`)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 

@@ -11,7 +11,8 @@ from millrace.functions.text import SPACE
 from millrace.operators.clean import clean
 from millrace.operators.ordered import before
 
-# Fixed value: the version of the cleaning rules inside a signature.
+# The version of the cleaning rules inside a signature, and the
+# forms of the identity and settings texts below.
 CLEAN_VERSION = "v2"
 
 
