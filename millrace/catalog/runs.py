@@ -9,7 +9,7 @@ from millrace.operators import pack, runlog
 from millrace.operators.score import perplexity_or_inf
 from millrace.plans.views import run_log, signed_log, table
 from millrace.session import shared_folder
-from millrace.sources.logs import append_run_log, read_run_log
+from millrace.sources.logs import append_run_log, latest_log_name, read_run_log
 
 TARGET, CONFIGURED_LR = 4000, 0.00025
 
@@ -307,13 +307,13 @@ def smoothed(spark, sf_dir):
 
 @query("step_flags", f"""
 with {RUN_LOG},
-s as (select run_id, line_no as step, max(line_no) over (partition by run_id) as final from run_log)
-select run_id, step, step % 10 = 0 or step = 1 or step = 45 as logged,
-       step % 25 = 0 or step = 45 as evaluated, step % 20 = 0 or step = 45 as saved
-from s where step between 1 and 45""")
+s as (select run_id, line_no as step from run_log)
+select run_id, step, step % 10 = 0 or step = 1 or step = 1000000 as logged,
+       step % 25 = 0 or step = 1000000 as evaluated, step % 20 = 0 or step = 1000000 as saved
+from s where step between 1 and 1000000""")
 def step_flags(spark, sf_dir):
     steps = run_log(spark, sf_dir).select("run_id", F.col("line_no").alias("step"))
-    return runlog.step_flags(steps, 1, 45, 10, 25, 20)
+    return runlog.step_flags(steps, 1, 1000000, 10, 25, 20)
 
 
 @query("learning_rate_schedule", f"""
@@ -363,3 +363,19 @@ def round_trip(spark, sf_dir):
     return read_run_log(spark, folder).select(
         "step", "train_loss", "val_loss", "tokens_seen", "vram_mb",
         F.unix_micros("time").alias("us"))
+
+
+@query("latest_run_log", f"""
+with {RUN_LOG}
+select 'b' as run_id, count(*) as lines, cast(1 as bigint) as first_line, count(*) as last_line,
+       cast(0 as bigint) as val_points from run_log where val_loss is null""")
+def latest_run_log(spark, sf_dir):
+    """Two logs written side by side; the last by name is chosen and read."""
+    folder = shared_folder(spark, "logs")
+    log = run_log(spark, sf_dir).drop("run_id", "line_no")
+    append_run_log(log.where(F.col("val_loss").isNotNull()), f"{folder}/a_log.jsonl")
+    append_run_log(log.where(F.col("val_loss").isNull()), f"{folder}/b_log.jsonl")
+    chosen = read_run_log(spark, latest_log_name(spark, folder).first().path)
+    return chosen.groupBy("run_id").agg(
+        F.count("*").alias("lines"), F.min("line_no").alias("first_line"),
+        F.max("line_no").alias("last_line"), F.count("val_loss").alias("val_points"))

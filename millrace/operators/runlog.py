@@ -67,21 +67,19 @@ def on_lines(lines: DataFrame, per_run: DataFrame) -> DataFrame:
 def latest_and_best(log: DataFrame) -> DataFrame:
     """One row per run: fields of the last line, last validation loss, and best
     losses without NaN.  Partial aggregates only, so one huge run is no problem."""
-    line = F.struct("step", "lr", "train_loss", "tokens_seen", "vram_mb", "throughput_tok_s")
-    has_val, has_train = F.col("val_loss").isNotNull(), F.col("train_loss").isNotNull()
-    out = log.groupBy("run_id").agg(
-        F.max_by(line, "line_no").alias("last"),
-        F.max_by(F.when(has_val, F.struct("step", "val_loss")),
-                 F.when(has_val, F.col("line_no"))).alias("last_val"),
+    # One max_by per plain column keeps this a hash aggregate.
+    last = {"step": "step", "lr": "lr", "train_loss": "latest_train", "tokens_seen": "tokens_seen",
+            "vram_mb": "vram_mb", "throughput_tok_s": "throughput_tok_s"}
+    val_line = F.when(F.col("val_loss").isNotNull(), F.col("line_no"))
+    return log.groupBy("run_id").agg(
+        F.max("line_no").alias("last_line"),
+        *[F.max_by(column, "line_no").alias(name) for column, name in last.items()],
+        F.max_by("val_loss", val_line).alias("latest_val"),
+        F.max_by("step", val_line).alias("latest_val_step"),
         F.min(skip_nan(F.col("train_loss"))).alias("best_train"),
         F.min(skip_nan(F.col("val_loss"))).alias("best_val"),
-        F.count(F.when(has_train, 1)).alias("train_points"),
-        F.count(F.when(has_val, 1)).alias("val_points"),
-        F.max("line_no").alias("last_line"))
-    return out.select(
-        "run_id", "last_line", "last.*", F.col("last_val.val_loss").alias("latest_val"),
-        F.col("last_val.step").alias("latest_val_step"), "best_train", "best_val",
-        "train_points", "val_points").withColumnRenamed("train_loss", "latest_train")
+        F.count("train_loss").alias("train_points"),
+        F.count("val_loss").alias("val_points"))
 
 
 def reference_loss(latest_val: Column, latest_train: Column) -> Column:
@@ -258,12 +256,13 @@ def throughput(log: DataFrame) -> DataFrame:
                    chunk_of("line_no"), ["line_no"],
                    previous={"prior": F.struct("time", "tokens_seen")})
     start = log.groupBy("run_id").agg(
-        F.min_by(F.struct("time", "tokens_seen"), "line_no").alias("start"),
+        F.min_by("time", "line_no").alias("start_time"),
+        F.min_by("tokens_seen", "line_no").alias("start_tokens"),
         F.max("line_no").alias("last_line"))
     timed = on_lines(prior.where(F.col("prior").isNotNull()), start)
     window_s = F.expr("timestampdiff(MICROSECOND, prior.time, time)") / 1e6
-    total_s = F.expr("timestampdiff(MICROSECOND, start.time, time)") / 1e6
-    overall = (F.col("tokens_seen") - F.col("start.tokens_seen")) / F.greatest(
+    total_s = F.expr("timestampdiff(MICROSECOND, start_time, time)") / 1e6
+    overall = (F.col("tokens_seen") - F.col("start_tokens")) / F.greatest(
         total_s, F.lit(MIN_SECONDS))
     recent = (F.col("tokens_seen") - F.col("prior.tokens_seen")) / F.greatest(
         window_s, F.lit(MIN_SECONDS))

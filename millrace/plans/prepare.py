@@ -47,8 +47,8 @@ def prepare_corpus(spark: SparkSession, raw: DataFrame, root: str, signature: st
         encoded = tokenize.encode(docs, merges).select("doc_seq", "token_ids")
         if with_eot:
             encoded = append_eot(encoded, tokenize.END_ID)
-        stored = written(encoded, "encoded")
-        lengths = stored.select(F.size("token_ids").alias("n_tokens"))
-        return split_stream(pack(stored), lengths, fraction, length)
+        # Lengths get a column of their own: counting reads no tokens.
+        stored = written(encoded.withColumn("n_tokens", F.size("token_ids")), "encoded")
+        return split_stream(pack(stored), stored.select("n_tokens"), fraction, length)
 
     return write_tokens(spark, make, f"{root.rstrip('/')}/tokens", signature)

@@ -12,41 +12,52 @@ RUN_LOG = ("step BIGINT, lr DOUBLE, train_loss DOUBLE, avg_stage_loss DOUBLE, be
            "vram_mb DOUBLE, throughput_tok_s DOUBLE, time TIMESTAMP")
 # The ending of log file names, and ISO-8601 time.
 LOG_NAME = "_log.jsonl"
+LOG_PATTERN = r"_log\.jsonl"
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of every log under `path`; blank and unreadable lines are skipped.
 
-    `run_id` is the file name without its ending; `line_no` counts kept lines
-    in file order, block by block, so a large file stays split over tasks.
+    A log is a file `<run>_log.jsonl` or a folder of that name with appended
+    files; any other file is a run of its own.  `line_no` counts kept lines from
+    the oldest file on, block by block, so a large log stays split over tasks.
     """
     lines = (spark.read.schema(f"{RUN_LOG}, _corrupt_record STRING")
-             .option("mode", "PERMISSIVE").option("timeZone", "UTC").json(path)
-             .select("*", F.col("_metadata.file_name").alias("file_name"),
-                     F.col("_metadata.file_block_start").alias("block"),
+             .option("mode", "PERMISSIVE").option("timeZone", "UTC")
+             .option("recursiveFileLookup", "true").json(path)
+             .select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path",
+                                   "_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("row")))
-    kept = lines.where(F.col("_corrupt_record").isNull() & F.col("step").isNotNull()).withColumn(
-        "run_id", F.regexp_replace("file_name", r"(_log)?\.jsonl?$", ""))
+    named = F.regexp_extract("block.file_path", f"([^/]*){LOG_PATTERN}(/[^/]*)?$", 1)
+    other = F.regexp_extract("block.file_path", r"([^/]*?)(\.jsonl?)?$", 1)
+    kept = (lines.where(F.col("_corrupt_record").isNull() & F.col("step").isNotNull())
+            .withColumn("run_id", F.when(named != "", named).otherwise(other)))
     numbered = before(kept, ["run_id"], F.col("block"), ["row"], {"earlier": F.lit(1)})
     return numbered.select("run_id", (F.col("earlier") + 1).alias("line_no"),
                            *[part.split()[0] for part in RUN_LOG.split(", ")])
 
 
 def latest_log_name(spark: SparkSession, folder: str, default: str | None = None) -> DataFrame:
-    """One row `path`: the default log when present, else the last by name."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{LOG_NAME}")
+    """One row `path`: the default log when present, else the last by name.  Only
+    file names are read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .load(folder).select("path"))
-    named = F.element_at(F.split("path", "/"), -1)
-    preferred = named == F.lit(f"{default}{LOG_NAME}")
-    return files.agg(F.coalesce(F.max(F.when(preferred, F.col("path"))), F.max("path"))
-                     .alias("path"))
+    logs = files.select(F.regexp_extract("path", f"^(.*/([^/]*){LOG_PATTERN})(/[^/]*)?$", 1)
+                        .alias("path")).where(F.col("path") != "")
+    preferred = F.element_at(F.split("path", "/"), -1) == F.lit(f"{default}{LOG_NAME}")
+    return logs.agg(F.coalesce(F.max(F.when(preferred, F.col("path"))), F.max("path"))
+                    .alias("path"))
 
 
 def append_run_log(entries: DataFrame, folder: str) -> None:
-    """Append entries as new JSON-lines files; a missing `time` becomes now (UTC)."""
-    stamp = F.current_timestamp()
-    timed = (F.coalesce(F.col("time").cast("timestamp"), stamp)
-             if "time" in entries.columns else stamp)
+    """Append entries as new JSON-lines files of `folder` (name it
+    `<run>_log.jsonl`); a missing `time` becomes now (UTC)."""
+    stamp, given = F.current_timestamp(), dict(entries.dtypes).get("time")
+    time = F.col("time")
+    if given == "timestamp_ntz":
+        # A time without a zone is UTC, whatever the session's zone.
+        time = F.convert_timezone(F.lit("UTC"), F.current_timezone(), time)
+    timed = F.coalesce(time.cast("timestamp"), stamp) if given else stamp
     (entries.withColumn("time", timed).write.mode("append").option("timeZone", "UTC")
      .option("timestampFormat", TIME_FORMAT).json(folder))

@@ -80,12 +80,13 @@ def test_log_choice_and_append(spark, tmp_path):
     pick = lambda d=None: logs.latest_log_name(spark, str(tmp_path), d).first().path
     assert pick().endswith("/b_log.jsonl") and pick("a").endswith("/a_log.jsonl")
     assert pick("zz").endswith("/b_log.jsonl")
-    out = str(tmp_path / "appended")
+    out = str(tmp_path / "named_log.jsonl")
     for step in (1, 2):
         entry = spark.createDataFrame([(step, 0.5)], "step long, train_loss double")
         logs.append_run_log(entry, out)
     rows = logs.read_run_log(spark, out).collect()
-    assert sorted(r.step for r in rows) == [1, 2] and all(r.time for r in rows)
+    assert [(r.run_id, r.line_no, r.step) for r in sorted(rows)] == [("named", 1, 1), ("named", 2, 2)]
+    assert all(r.time for r in rows) and pick().endswith("/named_log.jsonl")
 
 
 def test_token_cache(spark, tmp_path):

@@ -72,6 +72,15 @@ def test_encoding_equals_the_library(docs, trained):
             assert r.token_ids == model.encode(r.text).ids
 
 
+def test_encoding_of_nothing(spark, trained):
+    empty = spark.createDataFrame([(0, ""), (1, "")], "doc_seq long, text string").coalesce(1)
+    assert [r.token_ids for r in tokenize.encode(empty, trained).collect()] == [[], []]
+    none = tokenize.train(spark.createDataFrame([], "word string, n long"), 300)
+    one = spark.createDataFrame([(0, "ab")], "doc_seq long, text string")
+    # The byte 33 has id 1, so "a" (97) has id 65.
+    assert tokenize.encode(one, none).first().token_ids == [65, 66]
+
+
 def test_decoding(spark, docs, trained):
     vocab = tokenize.vocabulary(trained)
     back = tokenize.decode(tokenize.encode(docs, trained), vocab)
