@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import HASH_BITS, seeded_hash
@@ -19,16 +19,20 @@ def clean(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             .where(F.length("text") >= min_chars))
 
 
-def limit_raw(docs: DataFrame, max_articles: int) -> DataFrame:
-    """The first `max_articles` rows before any cleaning; 0 keeps all."""
+def limit_raw(docs: DataFrame, max_articles: int, chunk: Column | None = None) -> DataFrame:
+    """The first `max_articles` rows before any cleaning; 0 keeps all.
+
+    Pass `even_chunks(source, "doc_seq")` when ids are far from dense.
+    """
     if not max_articles:
         return docs
-    return first_rows(docs, chunk_of("doc_seq"), ["doc_seq"], max_articles)
+    return first_rows(docs, chunk_of("doc_seq") if chunk is None else chunk, ["doc_seq"],
+                      max_articles)
 
 
-def limit_kept(rows: DataFrame, order: str, limit: int) -> DataFrame:
+def limit_kept(rows: DataFrame, order: str, limit: int, chunk: Column | None = None) -> DataFrame:
     """The first `limit` rows of an already filtered table."""
-    return first_rows(rows, chunk_of(order), [order], limit)
+    return first_rows(rows, chunk_of(order) if chunk is None else chunk, [order], limit)
 
 
 def sample_documents(docs: DataFrame, size: int = 200_000, seed: int = 1337) -> DataFrame:

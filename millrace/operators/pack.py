@@ -14,15 +14,17 @@ def append_eot(docs: DataFrame, eot: int) -> DataFrame:
     return docs.withColumn("token_ids", F.array_append("token_ids", F.lit(eot).cast("int")))
 
 
-def pack(docs: DataFrame) -> DataFrame:
+def pack(docs: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Place documents one after the other: adds `n_tokens` and `start_pos`.
 
+    `doc_seq` should be near dense; otherwise pass `even_chunks(source, "doc_seq")`.
+
     `docs` is read twice, once only for lengths: give it a written table when
     making `token_ids` is dear, or an `n_tokens` column that is cheaper to make.
     """
     sized = docs if "n_tokens" in docs.columns else docs.withColumn("n_tokens",
                                                                     F.size("token_ids"))
-    return before(sized, [], chunk_of("doc_seq"), ["doc_seq"],
+    return before(sized, [], chunk_of("doc_seq") if chunk is None else chunk, ["doc_seq"],
                   {"start_pos": F.col("n_tokens").cast("bigint")})
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import pack
-from millrace.operators.ordered import before, chunk_of, first_rows
+from millrace.operators.ordered import before, chunk_of, even_chunks, first_rows
 
 
 def hot_rows(spark, parts):
@@ -48,6 +48,18 @@ def test_first_rows(spark):
         assert sorted(kept) == [3 * i for i in range(min(n, 3000))]
 
 
+def test_sparse_ids(spark):
+    rng = random.Random(8)
+    ids = sorted({rng.randrange(-2 ** 62, 2 ** 62) for _ in range(900)})
+    df = spark.createDataFrame([(i, 1) for i in ids], "doc_seq long, n_tokens int").repartition(5)
+    chunk = even_chunks(df, "doc_seq", 50)
+    assert 5 < df.select(chunk).distinct().count() <= 20
+    got = pack.pack(df, chunk).orderBy("doc_seq").collect()
+    assert [r.start_pos for r in got] == list(range(900))
+    assert sorted(r.doc_seq for r in first_rows(df, chunk, ["doc_seq"], 321).collect()) == ids[:321]
+    assert pack.pack(df.limit(0), even_chunks(df.limit(0), "doc_seq")).count() == 0
+
+
 def documents(spark, sizes, parts=3):
     rng, rows, stream = random.Random(3), [], []
     for i, size in enumerate(sizes):
