@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import cuckoo, rules, trie_bpe
+from millrace.llm import cuckoo, neardup, rules, trie_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,31 @@ def vocabulary() -> str:
     return trie_bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
 
 
+@query("op3_odd_sketch_dedup", rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '{WORD_SQL}') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [w]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: list_slice(w, i, i + 3))) end as s
+  from words),
+items as (select doc_id, unnest(s) as item from sets),
+joint as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from items a join items b using (item)
+  where a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from joint join sets x on x.doc_id = a join sets y on y.doc_id = b
+  where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+reach as (
+  select doc_id as node, doc_id as other from sets
+  union select r.node, l.b from reach r join links l on l.a = r.other)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(other) as component_id,
+       s.doc_id = min(other) as kept
+from sets s join reach on node = s.doc_id group by s.doc_id, len(s.s)""")
+def odd_sketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=4)
+
+
 @query("op5_rule_ledger", rf"""
 with docs as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') as w,
