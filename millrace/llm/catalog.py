@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import cuckoo, neardup, rules, trie_bpe
+from millrace.llm import cuckoo, mixing, neardup, rules, trie_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,11 @@ def vocabulary() -> str:
     return trie_bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
 
 
+@query("op1_entropy_mix")
+def entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 @query("op3_odd_sketch_dedup", rf"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
