@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import cuckoo, mixing, neardup, rules, trie_bpe
+from millrace.llm import cuckoo, mixing, neardup, quality, rules, toxicity, trie_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,11 @@ def odd_sketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), words=4)
 
 
+@query("op4_fair_toxicity")
+def fair_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op5_rule_ledger", rf"""
 with docs as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') as w,
@@ -118,6 +123,11 @@ def rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
         (~base & rules.passes(rules.POLICIES[rules.PRODUCTION])).alias("kept"))
 
 
+@query("op8_pairwise_quality")
+def pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op9_cuckoo_dedup", rf"""
 with hashed as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '{BLANK_SQL}+', ' ', 'g')) as h

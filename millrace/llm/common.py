@@ -43,3 +43,22 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], rows: i
 def keep_by(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of `docs` whose id (null too) is among `verdicts(_doc_id)`."""
     return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_doc_id"]), "left_semi")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int,
+                    rows: int) -> DataFrame:
+    """`(doc_id, text, label)` of at most `rows` ids of each label, chosen by id hash,
+    outside the held-out fold.
+
+    Ids are chosen from the label table alone; only they (a bounded number) are
+    broadcast to the scan of the texts.  An id with several labels takes the smallest,
+    rows repeated under one id the smallest text.
+    """
+    known = (labels.select("doc_id", F.col(label).cast("int").alias("label"))
+             .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+             .where(fold("doc_id", folds) != held_out)
+             .groupBy("doc_id").agg(F.min("label").alias("label")))
+    chosen = first_per_group(known, ["label"], [F.xxhash64("doc_id"), F.col("doc_id")], rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+            .agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
