@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import cuckoo, language, mixing, neardup, quality, rules, toxicity, trie_bpe
+from millrace.llm import cuckoo, language, links, mixing, neardup, quality, rules, toxicity, trie_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,64 @@ def rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
         (~base & rules.passes(rules.POLICIES[rules.PRODUCTION])).alias("kept"))
 
 
+def _link_sql(src: str, dst: str, seed: str, steps: int = links.STEPS) -> str:
+    """Scores after the steps, as a chain of tables s0, s1, ... for one direction."""
+    name = seed[0]
+    tables = [f"""{name}w as (select {src} as src, {dst} as dst, count(*) over (partition by {src}) as degree
+      from host_links),
+{name}0 as (select host, cast(round({seed} * cast({1 - links.DAMPING!r} as double)) as bigint) as score from hosts)"""]
+    for k in range(1, steps + 1):
+        tables.append(f"""{name}{k} as (
+  select z.host, z.score + cast(floor(coalesce(p.n, 0) * cast({links.DAMPING} as double)) as bigint) as score
+  from {name}0 z left join (select dst as host, sum(score // degree) as n from {name}w
+    join {name}{k - 1} s on s.host = src group by dst) p using (host))""")
+    return ",\n".join(tables)
+
+
+URL_SQL = rf"""
+with cut as (
+  select page_id, html, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as r
+  from pages),
+located as (
+  select page_id, html, translate(regexp_extract(r, '^[^/?#]*'), '{links.UPPER}', '{links.LOWER}') as host,
+         regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) as path from cut),
+ruled as (
+  select *, case
+    when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'
+    when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+    when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/'
+    when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/'
+    when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end as rule from located),
+judged as (
+  select *, case when rule in ('com/', 'www.example.com/en/') then 'allow'
+                 when rule is not null then 'block' end as v from ruled),
+hrefs as (
+  select host as src, unnest(regexp_extract_all(html, 'href\s*=\s*["'']?(?:https?:)?//([^"''\s>]+)', 1, 'i')) as t
+  from judged),
+host_links as (
+  select distinct src, dst from (
+    select src, translate(regexp_extract(t, '^[^/?#]*'), '{links.UPPER}', '{links.LOWER}') as dst from hrefs)
+  where src <> '' and dst <> '' and src <> dst),
+hosts as (
+  select host, max(good) as good, max(bad) as bad from (
+    select host, cast(round(count(case when v = 'allow' then 1 end) * 1000000000.0::double / count(*)) as bigint) as good,
+           cast(round(count(case when v = 'block' then 1 end) * 1000000000.0::double / count(*)) as bigint) as bad
+    from judged where host <> '' group by host
+    union all select src, 0, 0 from host_links union all select dst, 0, 0 from host_links)
+  group by host),
+{_link_sql('src', 'dst', 'good')},
+{_link_sql('dst', 'src', 'bad')}
+select page_id, j.host, path, rule, t.score as trust, d.score as distrust,
+       coalesce(v, case when d.score - t.score > {int(links.MARGIN * (1 - links.DAMPING) * links.UNIT)}
+                        then 'block' else 'allow' end) as verdict
+from judged j left join g{links.STEPS} t on t.host = j.host left join b{links.STEPS} d on d.host = j.host"""
+
+
+@query("op7_link_trust", URL_SQL)
+def link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return links.filter_urls(table(spark, folder, "pages"))
+
+
 @query("op8_pairwise_quality")
 def pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
