@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import cuckoo, language, links, mixing, neardup, quality, rules, toxicity, trie_bpe
+from millrace.llm import cuckoo, language, links, mixing, neardup, pii, quality, rules, toxicity, trie_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,18 @@ def rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
         (~base & rules.passes(rules.POLICIES[rules.PRODUCTION])).alias("kept"))
 
 
+@query("op6_shape_crf")
+def shape_crf(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.private_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
 def _link_sql(src: str, dst: str, seed: str, steps: int = links.STEPS) -> str:
     """Scores after the steps, as a chain of tables s0, s1, ... for one direction."""
     name = seed[0]
