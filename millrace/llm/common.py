@@ -40,6 +40,13 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], rows: i
             .where(F.col("_rank") <= rows).drop("_part", "_rank"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the input does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_by(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of `docs` whose id (null too) is among `verdicts(_doc_id)`."""
     return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_doc_id"]), "left_semi")

@@ -88,10 +88,14 @@ class Automata:
                         at = link[at]
                     link[onto] = link[state] = twin
             last = state
-        restart = np.ones(self.width, np.int32)  # an unknown character is a phrase of its own
+        # A character the sample lacks is a phrase of its own: it leads to one more state,
+        # where any character starts the next phrase.  Only the start of a text is in state 0.
+        alone = len(moves)
+        restart = np.full(self.width, 2 * alone * self.width + 1, np.int32)
         for c, state in moves[0].items():
             restart[c] = 2 * state * self.width + 1
-        table = np.tile(restart, (len(moves), 1))
+        table = np.tile(restart, (len(moves) + 1, 1))
+        table[0] = restart - 1
         for state, out in enumerate(moves):
             table[state, list(out)] = [2 * to * self.width for to in out.values()]
         return table.ravel()

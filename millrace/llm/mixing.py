@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD
+from millrace.llm.common import WORD, fresh
 from millrace.operators.ordered import before, chunk_of
 from millrace.session import written
 
@@ -170,8 +170,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERC
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT) -> DataFrame:
     """The mix itself: the rows of `docs`, none, once or twice each."""
-    plan = mix(docs, weights, percent).groupBy(F.col("doc_id").alias("_doc_id")).agg(
-        F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
-    return (docs.join(plan, docs["doc_id"].eqNullSafe(plan["_doc_id"]))
-            .select(*docs.columns, times.alias("_again")).drop("_again"))
+    doc_id, copies, again = (fresh(docs, n) for n in ("_doc_id", "_copies", "_again"))
+    plan = mix(docs, weights, percent).groupBy(F.col("doc_id").alias(doc_id)).agg(
+        F.max("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    return (docs.join(plan, docs["doc_id"].eqNullSafe(plan[doc_id]))
+            .withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col(copies))))
+            .drop(doc_id, copies, again))
