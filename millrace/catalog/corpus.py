@@ -6,14 +6,21 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import (DOCS, STREAM, WORDS, hash_sql, joined, joined_sql,
                                        normalise_sql, query)
+from millrace.functions.hashing import seeded_hash
 from millrace.functions.text import normalise
 from millrace.operators import clean, pack
+from millrace.operators.ordered import chunk_of
 from millrace.plans.views import clean_documents, table, word_documents
 from millrace.sources.corpus import read_corpus, source_signature, table_identity
 
 FRACTION, LENGTH = 0.01, 256
 
 
+def dense():
+    """The ids of the test tables have no gaps worth a look."""
+    return chunk_of("doc_seq")
+
+
 @query("read_corpus", """
 select doc_id as doc_seq, text from documents""")
 def read(spark, sf_dir):
@@ -55,13 +62,13 @@ t as (select doc_id as doc_seq, {normalise_sql('text')} as text from firsts)
 select doc_seq, text from t where length(text) >= 120""")
 def limit_raw(spark, sf_dir):
     docs = read_corpus(table(spark, sf_dir, "documents"))
-    return clean.clean(clean.limit_raw(docs, 600))
+    return clean.clean(clean.limit_raw(docs, 600, dense()))
 
 
 @query("limit_kept_rows", f"""
 with {DOCS} select doc_seq, text from docs order by doc_seq limit 600""")
 def limit_kept(spark, sf_dir):
-    return clean.limit_kept(clean_documents(spark, sf_dir), "doc_seq", 600)
+    return clean.limit_kept(clean_documents(spark, sf_dir), "doc_seq", 600, dense())
 
 
 @query("sample_documents", f"""
@@ -90,7 +97,7 @@ select batch, cast(sum(d) over w as bigint) as docs_done, cast(sum(t) over w as
 from b window w as (order by batch)""")
 def progress(spark, sf_dir):
     docs = word_documents(spark, sf_dir).select("doc_seq", "n_tokens")
-    return clean.corpus_progress(docs, batch=64, every=5)
+    return clean.corpus_progress(docs, batch=64, every=5, chunk=dense())
 
 
 SPLIT = f"""{STREAM},
@@ -106,7 +113,7 @@ pieces as (
 def split_words(spark, sf_dir):
     docs = word_documents(spark, sf_dir)
     lengths = docs.select("n_tokens")
-    return pack.split_stream(pack.pack(docs), lengths, FRACTION, LENGTH)
+    return pack.split_stream(pack.pack(docs, dense()), lengths, FRACTION, LENGTH)
 
 
 @query("append_end_marker", f"""
@@ -133,7 +140,20 @@ select doc_seq, cast(len(ids) as int) as n_tokens,
             and 1 preceding), 0) as bigint) as start_pos
 from words""")
 def pack_stream(spark, sf_dir):
-    return pack.pack(word_documents(spark, sf_dir)).select("doc_seq", "n_tokens", "start_pos")
+    return pack.pack(word_documents(spark, sf_dir), dense()).select("doc_seq", "n_tokens", "start_pos")
+
+
+@query("pack_hashed_ids", f"""
+with {WORDS}, h as (select {hash_sql("'5'", 'doc_seq')} as doc_seq, len(ids) as n from words)
+select doc_seq, cast(n as int) as n_tokens,
+       cast(coalesce(sum(n) over (order by doc_seq rows between unbounded preceding
+            and 1 preceding), 0) as bigint) as start_pos
+from h""")
+def pack_hashed_ids(spark, sf_dir):
+    """The same documents under ids that are anything but dense."""
+    docs = word_documents(spark, sf_dir).select(
+        seeded_hash(5, F.col("doc_seq")).alias("doc_seq"), "n_tokens")
+    return pack.pack(docs)
 
 
 @query("split_stream", f"""
@@ -179,7 +199,7 @@ select pos // 4096 as part, count(*) as windows, cast(sum(tok) as bigint) as fir
        cast(sum(final) as bigint) as last_tokens, cast(sum(mix) as bigint) as mix
 from w where n = {WINDOW + 1} group by 1""")
 def sliding_windows(spark, sf_dir):
-    made = pack.windows(pack.pack(word_documents(spark, sf_dir)), WINDOW)
+    made = pack.windows(pack.pack(word_documents(spark, sf_dir), dense()), WINDOW)
     mix = F.aggregate(F.transform("w", lambda t, i: t * ((F.col("start") + i) % 97 + 1)),
                       F.lit(0).cast("bigint"), lambda a, x: a + x)
     return made.groupBy(F.expr("start div 4096").alias("part")).agg(
@@ -193,7 +213,7 @@ select pos // {LENGTH + 1} * {LENGTH + 1} as start,
        cast(list(tok order by pos) as varchar) as w
 from stream group by 1 having count(*) = {LENGTH + 1}""")
 def strided_windows(spark, sf_dir):
-    made = pack.windows(pack.pack(word_documents(spark, sf_dir)), LENGTH, LENGTH + 1)
+    made = pack.windows(pack.pack(word_documents(spark, sf_dir), dense()), LENGTH, LENGTH + 1)
     return made.select("start", joined("w").alias("w"))
 
 
@@ -208,7 +228,7 @@ def drawn(spark, sf_dir):
     docs = word_documents(spark, sf_dir)
     lengths = docs.select("n_tokens")
     starts = pack.draw_starts(spark.range(20), pack.stream_length(lengths) - LENGTH, 16, 1337)
-    return pack.sampled_windows(pack.pack(docs), starts, LENGTH)
+    return pack.sampled_windows(pack.pack(docs, dense()), starts, LENGTH)
 
 
 @query("sampled_windows", f"""

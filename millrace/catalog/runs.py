@@ -355,13 +355,17 @@ def report(spark, sf_dir):
 
 @query("run_log_round_trip", f"""
 with {RUN_LOG}
-select step, train_loss, val_loss, tokens_seen, vram_mb, epoch_us(time) as us from run_log""")
+select 'all' as run_id, row_number() over (order by line_no > 20, line_no, cast(run_id as bigint)) as line_no,
+       step, train_loss, val_loss, tokens_seen, vram_mb, epoch_us(time) as us from run_log""")
 def round_trip(spark, sf_dir):
-    """Appended as JSON lines, then read back line by line."""
-    folder = shared_folder(spark, "run_log")
-    append_run_log(run_log(spark, sf_dir).drop("run_id", "line_no"), folder)
+    """Appended in two steps from many partitions, then read back line by line."""
+    folder = f"{shared_folder(spark, 'run_log')}/all_log.jsonl"
+    log = run_log(spark, sf_dir).withColumn("run", F.col("run_id").cast("bigint")).repartition(8, "line_no")
+    for part in (log.where("line_no <= 20"), log.where("line_no > 20")):
+        ranked = part.repartitionByRange("line_no", "run").sortWithinPartitions("line_no", "run")
+        append_run_log(ranked.drop("run_id", "line_no", "run"), folder)
     return read_run_log(spark, folder).select(
-        "step", "train_loss", "val_loss", "tokens_seen", "vram_mb",
+        "run_id", "line_no", "step", "train_loss", "val_loss", "tokens_seen", "vram_mb",
         F.unix_micros("time").alias("us"))
 
 

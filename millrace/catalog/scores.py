@@ -18,6 +18,18 @@ def long(rows, column, name="score"):
     return spread.select("row_id", "token_id", rounded("score").alias(name))
 
 
+@query("score_rows_round_trip", f"""
+with {SCORES}
+select row_id, token_id, case when score >= 0 then {rounded_sql('score')} end as score from scores""")
+def score_rows_round_trip(spark, sf_dir):
+    """Rows with removed entries, spread and gathered again; what was removed comes back as null."""
+    kept = F.transform("scores", lambda x: F.when(x >= 0, x).otherwise(F.lit(score.BANNED)))
+    rows = score_rows(spark, sf_dir).select("row_id", kept.alias("scores"))
+    back = score.gather_scores(score.spread_scores(rows), 64)
+    found = back.select("row_id", F.posexplode("scores").alias("token_id", "score"))
+    return found.withColumn("score", F.when(F.col("score") != score.BANNED, rounded("score")))
+
+
 LOSSES = f"""{SCORES},
 tops as (select row_id, max(score) as top from scores group by row_id),
 sums as (select row_id, any_value(top) as top, sum(exp(score - top)) as mass
@@ -179,8 +191,8 @@ def answers(spark, sf_dir):
 
 @query("stop_flags", f"""
 with p as (select conv_id, turn, text, string_split(text, ' ') as words from conversations),
-q as (select conv_id, turn, text, words[len(words)] as piece, len(words) as n from p),
-f as (select conv_id, turn, contains(piece, '<|') as marker,
+q as (select conv_id, turn, text, words[len(words)] as piece, len(words) - 1 as n from p),
+f as (select conv_id, turn, (conv_id + turn) % 7 = 0 or contains(piece, '<|') as marker,
              contains(piece, chr(10)) and n >= 2 as newline,
              contains(piece, '.') and length(text) - length(replace(text, '.', '')) >= 2
                and ends_with({strip_sql('text')}, '.') as sentences
@@ -188,8 +200,8 @@ f as (select conv_id, turn, contains(piece, '<|') as marker,
 select *, marker or newline or sentences as stop from f""")
 def stops(spark, sf_dir):
     words = F.split("text", " ")
-    flags = score.stop_flags(F.col("text"), F.element_at(words, -1), F.lit(None).cast("int"), 0,
-                             F.size(words))
+    flags = score.stop_flags(F.col("text"), F.element_at(words, -1),
+                             ((F.col("conv_id") + F.col("turn")) % 7).cast("int"), 0, F.size(words) - 1)
     known = F.struct(*[F.coalesce(flags[n], F.lit(False)).alias(n)
                        for n in ("marker", "newline", "sentences", "stop")])
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(F.array(known)))

@@ -30,7 +30,7 @@ def store(spark, sf_dir) -> str:
 
 
 def tokenizer(spark, sf_dir):
-    return build_or_load_tokenizer(clean_documents(spark, sf_dir), store(spark, sf_dir), VOCAB)
+    return build_or_load_tokenizer(clean_documents(spark, sf_dir), store(spark, sf_dir), VOCAB, "all")
 
 
 def signature(spark, sf_dir):

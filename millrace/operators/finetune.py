@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.hashing import seeded_hash
 from millrace.functions.text import prompt, strip
 from millrace.operators.clean import HASH_RANGE
-from millrace.operators.ordered import before, chunk_of
+from millrace.operators.ordered import before, even_chunks
 
 # Fixed values.
 END_TEXT = "<|endoftext|>"
@@ -40,10 +40,10 @@ def shuffled(rows: DataFrame, key: str, seed: int = 42, epochs: Column | None =
     return placed.drop("_hash")
 
 
-def in_order(rows: DataFrame, key: str) -> DataFrame:
-    """The unshuffled form: `place` follows the key."""
-    return before(rows.withColumn("epoch", F.lit(0)), [], chunk_of(key), [key],
-                  {"place": F.lit(1)})
+def in_order(rows: DataFrame, key: str, chunk: Column | None = None) -> DataFrame:
+    """The unshuffled form: `place` follows the key; pass `chunk_of(key)` for dense keys."""
+    return before(rows.withColumn("epoch", F.lit(0)), [],
+                  even_chunks(rows, key) if chunk is None else chunk, [key], {"place": F.lit(1)})
 
 
 def truncated(rows: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+SEGMENTS = 128
 
 
 def chunk_of(column: str, size: int = CHUNK) -> Column:
@@ -18,24 +19,45 @@ def chunk_of(column: str, size: int = CHUNK) -> Column:
 
 
 def even_chunks(df: DataFrame, column: str, rows: int = CHUNK) -> Column:
-    """Chunks of about `rows` rows for ids that are far from dense.
+    """Chunks of about `rows` rows for ids of any kind: sparse, hashed, or with outliers.
 
-    Takes one small job over the id column; give it the plain source table, so
-    that no other column is read.
+    The ids are cut at `SEGMENTS` quantiles and, towards both ends, at ever smaller
+    shares, so that a few outliers stand apart; each stretch is cut evenly.  However
+    the ids lie, a chunk holds at most about one stretch.  Takes one small job over
+    the id column; give it the plain source table, so that no other column is read.
     """
-    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    tails = [2.0 ** -k / SEGMENTS for k in range(1, 13)]
+    shares = sorted({*[k / SEGMENTS for k in range(SEGMENTS + 1)], *tails, *[1 - t for t in tails]})
+    n, found = df.agg(F.count(column), F.percentile_approx(column, shares, 50_000)).first()
     if not n:
         return chunk_of(column, rows)
-    width = max(1, (high - low + 1) * rows // max(n, rows))
-    # Doubles keep the order and do not overflow.
-    return F.floor((F.col(column).cast("double") - F.lit(float(low))) / F.lit(float(width)))
+    # A table of few chunks needs few stretches.
+    step = max(1, SEGMENTS * rows // max(n, rows))
+    bounds = sorted({b for share, b in zip(shares, found)
+                     if share * SEGMENTS % 1 or share * SEGMENTS % step == 0 or share == 1})
+    pieces = max(1, -(-n // (SEGMENTS * rows)))
+    value = F.col(column)
+
+    def stretch(low: int, high: int) -> Column:
+        """Chunk of a value between two bounds, by halving."""
+        if high - low <= 1:
+            first, last = bounds[low], bounds[min(high, len(bounds) - 1)]
+            # Doubles keep the order and do not overflow.
+            part = (value.cast("double") - float(first)) / max(1.0, (float(last) - float(first)))
+            return F.lit(low * pieces).cast("bigint") + F.greatest(F.lit(0), F.least(
+                F.lit(pieces - 1), F.floor(part * pieces))).cast("bigint")
+        middle = (low + high) // 2
+        return F.when(value < F.lit(bounds[middle]), stretch(low, middle)) \
+                .otherwise(stretch(middle, high))
+
+    return stretch(0, len(bounds))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for an input that comes in too few pieces (one small file);
-    an input of many pieces stays as it is."""
+    """Use all cores for an input of fewer files than cores; others stay as they are.
+    Looks at the plan's file names only, and runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
 
 
 def before(df: DataFrame, keys: list[str], chunk: Column, order: list[str | Column],
@@ -113,6 +135,8 @@ def nth_in_order(df: DataFrame, chunk: Column, order: list[str], n: int) -> Data
 
 def first_rows(df: DataFrame, chunk: Column, order: list[str], n: int) -> DataFrame:
     """Exactly the first `n` rows along `order`; wide rows are filtered, not shuffled."""
+    if n <= 0:
+        return df.where(F.lit(False))
     cut = nth_in_order(df, chunk, order, n)
     if len(order) == 1:
         limit = cut.scalar()

@@ -73,7 +73,8 @@ def latest_and_best(log: DataFrame) -> DataFrame:
     val_line = F.when(F.col("val_loss").isNotNull(), F.col("line_no"))
     return log.groupBy("run_id").agg(
         F.max("line_no").alias("last_line"),
-        *[F.max_by(column, "line_no").alias(name) for column, name in last.items()],
+        *[(F.coalesce(F.max_by(column, "line_no"), F.lit(0)) if column == "step"
+           else F.max_by(column, "line_no")).alias(name) for column, name in last.items()],
         F.max_by("val_loss", val_line).alias("latest_val"),
         F.max_by("step", val_line).alias("latest_val_step"),
         F.min(skip_nan(F.col("train_loss"))).alias("best_train"),

@@ -23,11 +23,14 @@ CONTEXT_BOOST = 3.0
 BANNED = float("-inf")
 
 
-def gather_scores(long: DataFrame) -> DataFrame:
-    """Long scores to score rows; token ids must be dense from 0.  A group is
-    bounded by the vocabulary."""
-    pairs = F.array_sort(F.collect_list(F.struct("token_id", "score")))
-    return long.groupBy("row_id").agg(F.transform(pairs, lambda p: p.score).alias("scores"))
+def gather_scores(long: DataFrame, vocab_size: int) -> DataFrame:
+    """Long scores to score rows of the vocabulary's size; tokens that a row lacks are
+    banned there.  A group is bounded by the vocabulary."""
+    known = F.map_from_entries(F.collect_list(F.struct("token_id", "score")))
+    rows = long.groupBy("row_id").agg(known.alias("known"))
+    ids = F.sequence(F.lit(0), F.lit(vocab_size - 1))
+    return rows.select("row_id", F.transform(
+        ids, lambda i: F.coalesce(F.element_at("known", i), F.lit(BANNED))).alias("scores"))
 
 
 def spread_scores(rows: DataFrame, value: str = "scores") -> DataFrame:
@@ -211,10 +214,11 @@ def answers(table: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stop_flags(text: Column, piece: Column, token_id: Column, eot: int,
-               n_tokens: Column) -> Column:
-    """Why generation stops after `piece` was added to make `text`."""
+               n_before: Column) -> Column:
+    """Why generation stops after `piece` was added to make `text`; `n_before` tokens
+    stood before the piece."""
     marker = (token_id == eot) | F.contains(piece, F.lit("<|"))
-    newline = F.contains(piece, F.lit("\n")) & (n_tokens >= 2)
+    newline = F.contains(piece, F.lit("\n")) & (n_before >= 2)
     sentence = F.contains(piece, F.lit(".")) & ends_sentences(text)
     return F.struct(marker.alias("marker"), newline.alias("newline"),
                     sentence.alias("sentences"), (marker | newline | sentence).alias("stop"))

@@ -6,44 +6,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import tokenize
-from millrace.operators.clean import clean, sample_documents
+from millrace.operators.clean import clean, limit_raw, sample_documents
 from millrace.operators.ordered import even_chunks, spread
 from millrace.operators.pack import append_eot, pack, split_stream
 from millrace.session import path_exists, written
 from millrace.sources.cache import read_vocab, write_tokens, write_vocab
 
-# Fixed value: the tokenizer learns from at most this many documents.
-TRAINING_DOCUMENTS = 200_000
-
-
 def signature_text(docs: DataFrame, signature: Column) -> str:
     """The signature as a string on the driver (one row)."""
     return docs.sparkSession.range(1).select(signature.alias("s")).first().s
 
 
-def build_or_load_tokenizer(docs: DataFrame, root: str, vocab_size: int,
-                            seed: int = 1337) -> tuple[DataFrame, DataFrame]:
-    """`(vocab, merges)` stored under `root`, trained on a sample when missing."""
+def build_or_load_tokenizer(docs: DataFrame, root: str, vocab_size: int, signature: str,
+                            sample: int | None = None, seed: int = 1337) -> tuple[DataFrame, DataFrame]:
+    """`(vocab, merges)` stored under `root` for this corpus, trained when missing: on all
+    documents, or on a uniform sample of `sample` of them."""
     spark = docs.sparkSession
-    folder = f"{root.rstrip('/')}/tokenizer_{vocab_size}"
+    folder = f"{root.rstrip('/')}/tokenizer_{vocab_size}_{signature}"
+    if sample is not None:
+        folder += f"_{sample}_{seed}"
     if not path_exists(spark, f"{folder}/merges/_SUCCESS"):
-        sample = sample_documents(docs, TRAINING_DOCUMENTS, seed)
-        merges = tokenize.train(tokenize.pre_token_counts(sample), vocab_size)
+        chosen = docs if sample is None else sample_documents(docs, sample, seed)
+        merges = tokenize.train(tokenize.pre_token_counts(chosen), vocab_size)
         write_vocab(tokenize.vocabulary(merges), merges, folder)
     return read_vocab(spark, folder)
 
 
 def prepare_corpus(spark: SparkSession, raw: DataFrame, root: str, signature: str,
                    vocab_size: int = 32768, fraction: float = 0.01, length: int = 512,
-                   with_eot: bool = True) -> DataFrame:
+                   with_eot: bool = True, max_articles: int = 0,
+                   sample: int | None = None) -> DataFrame:
     """Stored `(split, doc_seq, start_pos, n_tokens, token_ids)` of `raw(doc_seq, text)`.
 
     Nothing runs when the splits of this signature are already stored.  Encoded
-    documents are written once, since packing reads them twice.
+    documents are written once, since packing reads them twice.  `max_articles` limits
+    the raw documents (0: all), `sample` those that the tokenizer learns from (None: all).
     """
     def make() -> DataFrame:
-        docs = clean(spread(raw, "doc_seq"))
-        _, merges = build_or_load_tokenizer(docs, root, vocab_size)
+        docs = clean(spread(limit_raw(raw, max_articles), "doc_seq"))
+        _, merges = build_or_load_tokenizer(docs, root, vocab_size, signature, sample)
         encoded = tokenize.encode(docs, merges).select("doc_seq", "token_ids")
         if with_eot:
             encoded = append_eot(encoded, tokenize.END_ID)

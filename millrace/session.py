@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +35,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares (`spark.checkpoint.dir`)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        root = tempfile.gettempdir()
+    """A fresh path in the folder the cluster shares: `spark.checkpoint.dir`, else the
+    warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,6 +49,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _on_store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, hadoop_path = _on_store(spark, path)
+    return store.exists(hadoop_path)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none when it is missing."""
+    store, hadoop_path = _on_store(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(hadoop_path)) \
+        if store.exists(hadoop_path) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, hadoop_path = _on_store(spark, path)
+    store.delete(hadoop_path, True)

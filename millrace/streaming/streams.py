@@ -1,7 +1,9 @@
 """Streaming forms of cleaning, run monitoring and retrieval.
 
 Each starts a query over files as they arrive and drains what is there; with
-`once=False` it keeps running.  State and offsets live in the shared folder.
+`once=False` it keeps running.  Offsets and state live beside the output, so the
+next start with the same `out` goes on where the last one ended: nothing is read
+twice, nothing is lost, and earlier output stays.
 """
 
 from __future__ import annotations
@@ -13,7 +15,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from millrace.operators.clean import clean
 from millrace.operators.retrieve import knn
 from millrace.operators.runlog import skip_nan
-from millrace.session import shared_folder
+from millrace.session import names_in, path_exists, remove
+
+
+#: The monitor's batches are merged into one after so many.
+COMPACT_EVERY = 20
 
 
 def read_files(spark: SparkSession, folder: str, schema, name: str = "*.parquet",
@@ -23,26 +29,31 @@ def read_files(spark: SparkSession, folder: str, schema, name: str = "*.parquet"
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def _start(writer: DataStreamWriter, spark: SparkSession, once: bool) -> StreamingQuery:
-    writer = writer.option("checkpointLocation", shared_folder(spark, "offsets"))
+def _start(writer: DataStreamWriter, out: str, checkpoint: str | None,
+           once: bool) -> StreamingQuery:
+    """One output has one checkpoint; readers skip its name."""
+    writer = writer.option("checkpointLocation", checkpoint or f"{out.rstrip('/')}/_offsets")
     query = (writer.trigger(availableNow=True) if once else writer).start()
     if once:
         query.awaitTermination()
     return query
 
 
-def clean_stream(stream: DataFrame, out: str, once: bool = True) -> StreamingQuery:
+def clean_stream(stream: DataFrame, out: str, once: bool = True,
+                 checkpoint: str | None = None) -> StreamingQuery:
     """Cleaned documents appended to `out` as they arrive."""
     writer = clean(stream).writeStream.format("parquet").outputMode("append").option("path", out)
-    return _start(writer, stream.sparkSession, once)
+    return _start(writer, out, checkpoint, once)
 
 
-def monitor_runs(stream: DataFrame, out: str, once: bool = True) -> StreamingQuery:
+def monitor_runs(stream: DataFrame, out: str, once: bool = True,
+                 checkpoint: str | None = None) -> StreamingQuery:
     """Latest entry, best losses and trained tokens per run, kept up to date in `out`.
 
     Entries may come in any order: the latest is the one with the highest step,
-    then the latest time.  Each batch rewrites its runs' rows under its number,
-    so a repeated batch changes nothing; `read_monitor` gives the newest rows.
+    then the latest time.  Each batch writes its runs' rows under its number, so
+    a repeated batch changes nothing; `read_monitor` gives the newest rows, and
+    every `COMPACT_EVERY` batches the older ones become one.
     """
     latest = F.max_by(F.struct("step", "train_loss", "val_loss"), F.struct("step", "time"))
     state = stream.groupBy("run_id").agg(
@@ -51,23 +62,41 @@ def monitor_runs(stream: DataFrame, out: str, once: bool = True) -> StreamingQue
         F.max("tokens_seen").alias("tokens_seen"), F.count("*").alias("entries"))
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number and number % COMPACT_EVERY == 0:
+            _compact(batch.sparkSession, out, 2 * number - 1)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={2 * number}")
 
     writer = state.writeStream.outputMode("update").foreachBatch(store)
-    return _start(writer, stream.sparkSession, once)
+    return _start(writer, out, checkpoint, once)
 
 
-def read_monitor(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.parquet(out)
+def _newest(rows: DataFrame) -> DataFrame:
     columns = [c for c in rows.columns if c not in ("run_id", "batch")]
     newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*columns), "batch").alias("row"))
-    return newest.select("run_id", "row.last.*", *[f"row.{c}" for c in columns if c != "last"])
+    return newest.select("run_id", *[f"row.{c}" for c in columns])
+
+
+def _compact(spark: SparkSession, out: str, number: int) -> None:
+    """Merge the batches under `number` into it.  They go only once the merged one is
+    complete, so a repeated call ends in the same state."""
+    old = [n for n in names_in(spark, out) if n.startswith("batch=") and int(n[6:]) < number]
+    merged = f"{out}/batch={number}"
+    if old and not path_exists(spark, f"{merged}/_SUCCESS"):
+        rows = spark.read.option("basePath", out).parquet(*[f"{out}/{n}" for n in old])
+        _newest(rows).write.mode("overwrite").parquet(merged)
+    for name in old:
+        remove(spark, f"{out}/{name}")
+
+
+def read_monitor(spark: SparkSession, out: str) -> DataFrame:
+    newest = _newest(spark.read.parquet(out))
+    return newest.select("run_id", "last.*", *[c for c in newest.columns if c not in ("run_id", "last")])
 
 
 def answer_stream(stream: DataFrame, corpus: DataFrame, k: int, out: str,
-                  once: bool = True) -> StreamingQuery:
+                  once: bool = True, checkpoint: str | None = None) -> StreamingQuery:
     """Exact top-k hits for each arriving `(query_id, embedding)`."""
     def search(batch: DataFrame, number: int) -> None:
         knn(batch, corpus, k).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _start(stream.writeStream.foreachBatch(search), stream.sparkSession, once)
+    return _start(stream.writeStream.foreachBatch(search), out, checkpoint, once)

@@ -43,17 +43,26 @@ def test_before_without_keys_and_descending(spark):
 
 def test_first_rows(spark):
     df = spark.range(0, 9000, 3).withColumnRenamed("id", "n")
-    for n in (1, 17, 2999, 3000, 3001):
+    for n in (0, 1, 17, 2999, 3000, 3001):
         kept = [r.n for r in first_rows(df, chunk_of("n", 64), ["n"], n).collect()]
         assert sorted(kept) == [3 * i for i in range(min(n, 3000))]
 
 
+def test_outlier_ids_share_no_chunk_with_the_rest(spark):
+    ids = [*range(20_000), 2 ** 61, 2 ** 61 + 1, -2 ** 62]
+    df = spark.createDataFrame([(i, 1) for i in ids], "doc_seq long, n_tokens int")
+    sizes = df.groupBy(even_chunks(df, "doc_seq", 100)).count().toPandas()["count"]
+    assert sizes.sum() == len(ids) and sizes.max() <= 400
+    got = pack.pack(df).orderBy("doc_seq").select("start_pos").toPandas()["start_pos"]
+    assert list(got) == list(range(len(ids)))
+
+
 def test_sparse_ids(spark):
     rng = random.Random(8)
     ids = sorted({rng.randrange(-2 ** 62, 2 ** 62) for _ in range(900)})
     df = spark.createDataFrame([(i, 1) for i in ids], "doc_seq long, n_tokens int").repartition(5)
     chunk = even_chunks(df, "doc_seq", 50)
-    assert 5 < df.select(chunk).distinct().count() <= 20
+    assert 5 < df.select(chunk).distinct().count() <= 60
     got = pack.pack(df, chunk).orderBy("doc_seq").collect()
     assert [r.start_pos for r in got] == list(range(900))
     assert sorted(r.doc_seq for r in first_rows(df, chunk, ["doc_seq"], 321).collect()) == ids[:321]

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,11 +66,11 @@ def test_tolerant_log_lines(spark, tmp_path):
     lines = ['{"step": 1, "train_loss": 2.5, "val_loss": null, "time": "2026-01-02T03:04:05.678901+00:00"}',
              "", "  ", "not json", "[1, 2]", '{"step": 2, "train_loss": Infinity}',
              '{"step": 3, "train_loss": NaN, "lr": 1e-3, "extra": "x"}', '{"step": "four"}',
-             '{"step": 5, "tokens_seen": 9}']
+             '{"step": 5, "tokens_seen": 9}', '{"train_loss": 1.5}']
     (tmp_path / "one_log.jsonl").write_text("\n".join(lines) + "\n")
     rows = logs.read_run_log(spark, str(tmp_path)).orderBy("line_no").collect()
-    assert [r.step for r in rows] == [1, 2, 3, 5]
-    assert [r.line_no for r in rows] == [1, 2, 3, 4] and {r.run_id for r in rows} == {"one"}
+    assert [r.step for r in rows] == [1, 2, 3, 5, None]
+    assert [r.line_no for r in rows] == [1, 2, 3, 4, 5] and {r.run_id for r in rows} == {"one"}
     assert rows[1].train_loss == float("inf") and str(rows[2].train_loss) == "nan"
     assert rows[0].time.microsecond == 678901 and rows[0].val_loss is None
 
@@ -89,6 +90,18 @@ def test_log_choice_and_append(spark, tmp_path):
     assert all(r.time for r in rows) and pick().endswith("/named_log.jsonl")
 
 
+def test_lines_of_a_parallel_append_keep_their_order(spark, tmp_path):
+    """The tasks of one append end in any order; here the first one is the last."""
+    out = str(tmp_path / "run_log.jsonl")
+    slow = F.udf(lambda i: time.sleep(1.5 if i == 0 else 0) or i, "bigint")
+    rows = spark.range(0, 40, 1, 4).select(slow("id").alias("step"))
+    logs.append_run_log(rows, out)
+    logs.append_run_log(spark.range(99, 59, -1, 3).toDF("step").repartition(5), out, order=["step"])
+    got = logs.read_run_log(spark, out).orderBy("line_no").collect()
+    assert [r.step for r in got] == [*range(40), *range(60, 100)]
+    assert [r.line_no for r in got] == list(range(1, 81)) and {r.run_id for r in got} == {"run"}
+
+
 def test_token_cache(spark, tmp_path):
     root, made = str(tmp_path / "tokens"), []
     docs = spark.createDataFrame([(i, [i] * 9) for i in range(30)],
