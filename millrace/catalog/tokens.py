@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog.corpus import FRACTION, LENGTH, SPLIT, split_words
-from millrace.catalog.registry import DOCS, QA, joined, normalise_sql, query
+from millrace.catalog.registry import DOCS, QA, STREAM, joined, joined_sql, normalise_sql, query
 from millrace.functions.text import SPACE
 from millrace.operators import tokenize
 from millrace.operators.pack import split_sizes
@@ -68,6 +68,52 @@ PIECES = (r"''(?:[sdmt]|ll|ve|re)|(?:\x01 )?\p{L}+|(?:\x01 )?\p{N}+"
           rf"|(?:\x01 )?[^{RE_SPACE}\p{{L}}\p{{N}}\x01]+|\x01?[{RE_SPACE}]+")
 
 
+# Training in SQL.  A word is a text like <84><72>, so that replacing a pair's text merges it
+# from left to right without overlap; each step merges the most frequent pair of all words.
+TRAINING = f"""recursive {DOCS},
+cut as (
+  select doc_seq, replace(piece, chr(1), '') as word, i from (
+    select doc_seq, unnest(p) as piece, generate_subscripts(p, 1) as i
+    from (select doc_seq, regexp_extract_all({MARKED}, '{PIECES}') as p from docs))),
+counted as (
+  select word, count(*) as n, row_number() over (order by word) as wid from cut group by word),
+shown as (
+  select b, case when s then b else 255 + row_number() over (partition by s order by b) end as code from (
+    select b, b between 33 and 126 or b between 161 and 172 or b >= 174 as s
+    from (select unnest(range(256)) as b))),
+symbols as materialized (
+  select list(id order by b) as ids, list_prepend('<|endoftext|>', list(chr(cast(code as int)) order by code)) as texts
+  from (select b, code, row_number() over (order by code) as id from shown)),
+spelled as (
+  select wid, n, list_transform(range(1, length(h), 2), lambda k: ids[cast('0x' || substr(h, k, 2) as int) + 1]) as s
+  from (select wid, n, hex(encode(word)) as h, ids from counted, symbols)),
+training as (
+  select 0 as step, wid, n, '<' || array_to_string(s, '><') || '>' as w, 0 as l, 0 as r from spelled
+  union all
+  select t.step + 1, wid, n,
+         replace(w, '<' || b.l || '><' || b.r || '>', '<' || (257 + t.step) || '>'), b.l, b.r
+  from training t, (
+    select p[1] as l, p[2] as r from (
+      select n, unnest(list_zip(s, s[2:])) as p from (
+        select n, cast(string_split(w[2:-2], '><') as int[]) as s from training))
+    where p[2] is not null
+    group by p having sum(n) >= 2 order by sum(n) desc, p[1], p[2] limit 1) b
+  where t.step < {VOCAB - tokenize.FIRST_MERGE}),
+merged as materialized (select distinct step, l, r from training where step > 0),
+names as (
+  select 0 as step, texts from symbols
+  union all
+  select n.step + 1, list_append(texts, texts[l + 1] || texts[r + 1])
+  from names n join merged m on m.step = n.step + 1),
+final as materialized (select texts from names order by step desc limit 1),
+tokens as (select unnest(texts) as token, cast(generate_subscripts(texts, 1) - 1 as int) as id from final),
+encodings as materialized (
+  select wid, cast(string_split(arg_max(w, step)[2:-2], '><') as int[]) as ids from training group by wid),
+encoded as (
+  select doc_seq, flatten(list(ids order by i)) as ids
+  from cut join counted using (word) join encodings using (wid) group by doc_seq)"""
+
+
 @query("pre_token_counts", f"""
 with {DOCS}
 select replace(piece, chr(1), '') as word, count(*) as n
@@ -76,19 +122,24 @@ def pre_tokens(spark, sf_dir):
     return tokenize.pre_token_counts(clean_documents(spark, sf_dir))
 
 
-@query("learned_merges")
+@query("learned_merges", f"""
+with {TRAINING}
+select cast(step - 1 as int) as rank, texts[l + 1] as left, texts[r + 1] as right from merged, final""")
 def merges(spark, sf_dir):
     vocab, learned = tokenizer(spark, sf_dir)
     return tokenize.merge_texts(learned, vocab)
 
 
 @query("vocabulary_report", f"""
-select cast({VOCAB} as bigint) as requested, cast({VOCAB} as bigint) as actual, true as complete""")
+with {TRAINING}
+select cast({VOCAB} as bigint) as requested, count(*) as actual, count(*) = {VOCAB} as complete from tokens""")
 def report(spark, sf_dir):
     return tokenize.vocabulary_report(tokenizer(spark, sf_dir)[0], VOCAB)
 
 
-@query("token_ids")
+@query("token_ids", f"""
+with {TRAINING}
+select token, n, id from (select replace(word, ' ', 'Ġ') as token, n from counted) left join tokens using (token)""")
 def lookups(spark, sf_dir):
     """Ids of all distinct pre-tokens in display form; null for those not in the vocabulary."""
     vocab, _ = tokenizer(spark, sf_dir)
@@ -97,7 +148,9 @@ def lookups(spark, sf_dir):
     return tokenize.token_id(shown, vocab)
 
 
-@query("encoded_documents")
+@query("encoded_documents", f"""
+with {TRAINING}
+select doc_seq, cast(len(ids) as int) as n_tokens, {joined_sql('ids')} as ids from encoded""")
 def encoded(spark, sf_dir):
     _, learned = tokenizer(spark, sf_dir)
     rows = tokenize.encode(clean_documents(spark, sf_dir), learned)
@@ -124,7 +177,13 @@ def stored_tokens(spark, sf_dir):
     return split_sizes(read_tokens(spark, root, signed))
 
 
-@query("prepared_corpus")
+@query("prepared_corpus", f"""
+with {SPLIT.replace(STREAM, TRAINING + """,
+stream as (
+  select doc_seq, tok, row_number() over (order by doc_seq, i) - 1 as pos from (
+    select doc_seq, unnest(a) as tok, generate_subscripts(a, 1) as i
+    from (select doc_seq, list_append(ids, 0) as a from encoded)))""")}
+select split, count(distinct doc_seq) as docs, count(*) as n_tokens from pieces group by split""")
 def prepared(spark, sf_dir):
     """The whole preparation with the trained tokenizer."""
     raw = read_corpus(table(spark, sf_dir, "documents"))
