@@ -27,10 +27,12 @@ def read(spark, sf_dir):
     return read_corpus(table(spark, sf_dir, "documents"))
 
 
-@query("read_corpus_missing_column", """
-select cast(null as bigint) as doc_seq, cast(null as varchar) as text where false""")
+@query("read_corpus_missing_column", f"""
+with {DOCS} select doc_seq, text from docs""")
 def read_missing(spark, sf_dir):
-    return clean.clean(read_corpus(table(spark, sf_dir, "documents"), "body"))
+    """Two sources in one corpus; the one without the text column adds nothing."""
+    docs = table(spark, sf_dir, "documents")
+    return clean.clean(read_corpus(docs).union(read_corpus(docs, "body")))
 
 
 @query("source_signature", f"""

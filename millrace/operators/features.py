@@ -50,7 +50,8 @@ def additive_spline_regression(table: DataFrame, inputs: list[str], target: str,
     """Fit target ~ W silu(x) + V basis(x) by least squares on z-scored inputs:
     `(feature, weight)` and the fit quality in the rows `(intercept)` and `(r2)`.
 
-    Two passes over the data; only moments and the small normal matrix travel.
+    Three passes over the data: moments, the small normal matrix, and the residuals
+    of the fit quality; only sums travel.
     """
     moments = table.agg(*[f(F.col(c).cast("double")).alias(f"{f.__name__}_{c}")
                           for c in inputs for f in (F.avg, F.stddev_pop)]).first()
