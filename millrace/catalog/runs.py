@@ -79,6 +79,8 @@ STAGE = """case when ref_loss is null then null when ref_loss >= ln(cast(32768 a
 
 PPL = "exp(least({x}, cast(20 as double)))"
 
+LOSS_TEXT = "printf('%.4f', {x}) || ' (ppl ' || printf('%.2f', exp(least({x}, cast(20 as double)))) || ')'"
+
 ADVICE = f"""{LATEST}, {GAP}, {VAL_TREND}, {TREND},
 joined as (
   select l.*, g.gap, v.val_slope, v.val_trend, t.series, t.window_points, t.step_span,
@@ -338,6 +340,20 @@ select run_id,
   format('{{:,}}', step) || ' / 4,000 (' || printf('%.1f', progress * 100) || '%)' as current_step,
   case when latest_train is null then 'NaN' else printf('%.4f', latest_train) || ' (ppl ' ||
     printf('%.2f', {PPL.format(x='latest_train')}) || ')' end as latest_train,
+  case when best_train is not null then {LOSS_TEXT.format(x='best_train')} else 'NaN' end as best_train,
+  case when val_points > 0 then {LOSS_TEXT.format(x='latest_val')} end as latest_val,
+  case when val_points > 0 then {LOSS_TEXT.format(x='best_val')} end as best_val,
+  concat_ws(' | ', case when vram_mb <> 0 then 'VRAM: ' || format('{{:,.0f}}', vram_mb) || ' MB' end,
+    case when throughput_tok_s <> 0 then 'Speed: ' || format('{{:,.0f}}', throughput_tok_s) || ' tok/s' end,
+    case when tokens_seen <> 0 then 'Tokens Seen: ' || format('{{:,.1f}}', tokens_seen / cast(1e6 as double)) || 'M' end)
+    as telemetry,
+  case stage {' '.join(f"when {k} then '{v}'" for k, v in runlog.STAGE_TITLES.items())} end as stage,
+  case when suggested_lr <> active_lr then round(suggested_lr, 12) end as suggested_lr,
+  round(active_lr, 12) as active_lr,
+  case when eta_s is not null then cast({TARGET} - step as bigint) end as remaining_steps,
+  case when points >= 6 then series end as series,
+  case when points >= 6 then window_points end as window_points,
+  case when points >= 6 then step_span end as step_span,
   printf('%+.4f', gap) as gap, verdict, advice, note, next_steps,
   case when points >= 6 then printf('%+.2f', rel_slope) || '% change per 1,000 steps (' ||
     printf('%+.4f', slope_per_1k) || ' loss/1k)' end as trend,
@@ -349,8 +365,7 @@ select run_id,
 from advised""")
 def report(spark, sf_dir):
     out = runlog.report(advice(spark, sf_dir), TARGET)
-    return out.select("run_id", "current_step", "latest_train", "gap", "verdict", "advice",
-                      "note", "next_steps", "trend", "noise", "eta")
+    return out.withColumns({c: F.round(c, 12) for c in ("suggested_lr", "active_lr")})
 
 
 @query("run_log_round_trip", f"""

@@ -422,7 +422,7 @@ def _clock(seconds: Column) -> Column:
 
 
 def report(advice: DataFrame, target: int | None = None) -> DataFrame:
-    """One row of formatted lines per run."""
+    """One row per run: formatted lines, and the plain numbers beside them."""
     step_text = F.format_number("step", 0)
     if target:
         step_text = F.concat(step_text, F.lit(f" / {target:,} ("),
@@ -454,4 +454,8 @@ def report(advice: DataFrame, target: int | None = None) -> DataFrame:
         F.when(F.col("points") >= TREND_POINTS,
                F.concat(_fixed(F.col("noise") * 100, 2), F.lit("%"))).alias("noise"),
         "advice", "note",
-        F.when(changed, F.col("suggested_lr")).alias("suggested_lr"), "next_steps")
+        F.when(changed, F.col("suggested_lr")).alias("suggested_lr"), "next_steps", "active_lr",
+        F.when(F.col("eta_s").isNotNull(), F.lit(target).cast("bigint") - F.col("step"))
+        .alias("remaining_steps"),
+        *[F.when(F.col("points") >= TREND_POINTS, F.col(c)).alias(c)
+          for c in ("series", "window_points", "step_span")])
