@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import small_batches
 
 #: Words whose encodings a worker remembers; beyond it the memory starts anew.
-MEMO_WORDS = 500_000
-MEMO_PAIRS = 500_000
+MEMO_WORDS = 300_000
+MEMO_PAIRS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -56,7 +56,6 @@ class TrieEncoder:
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.end = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.texts = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # Plain `\s` also takes U+001C..U+001F, the property does not.
         self.pieces = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
@@ -207,9 +206,18 @@ class TrieEncoder:
             out.append(np.array(ids, "<u4"))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Tokens joined by spaces, as this vocabulary (without a decoder) decodes."""
-        return " ".join([self.texts[i] for i in ids.tolist()])
+
+def decode_ids(ids: np.ndarray, texts: list[str]) -> str:
+    """Tokens joined by spaces, as this vocabulary (without a decoder) decodes."""
+    return " ".join([texts[i] for i in ids.tolist()])
+
+
+@functools.lru_cache(maxsize=2)
+def token_texts(vocabulary: str) -> list[str]:
+    """Text of each id: all that decoding needs."""
+    spec = json.loads(vocabulary)
+    found = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return sorted(found, key=found.get)
 
 
 @functools.lru_cache(maxsize=2)
@@ -249,9 +257,10 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(sent.value)
+        names = token_texts(sent.value)
         for batch in batches:
-            texts = [made.decode(np.frombuffer(b, "<u4")) for b in batch.column("ids").to_pylist()]
+            texts = [decode_ids(np.frombuffer(b, "<u4"), names)
+                     for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())],
                 ["doc_id", "n_tokens", "ids", "text"])
