@@ -31,8 +31,8 @@ from millrace.llm.common import WORD, small_batches
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 REACH = 6
-#: Windows decoded together, which bounds memory.
-LANES = 8192
+#: Words decoded together, with the padding; a longer window is decoded alone.
+CELLS = 1 << 19
 RIDGE = 0.02
 STEPS = 150
 
@@ -335,6 +335,16 @@ def _runs(text: str, words: list[re.Match], labels: np.ndarray, base: list[Span]
     return found
 
 
+def _batched(jobs: list[tuple[int, list[re.Match]]]) -> Iterator[list[tuple[int, list[re.Match]]]]:
+    """Windows, longest first, in batches that take at most `CELLS` words padded to the longest."""
+    jobs.sort(key=lambda job: -len(job[1]))
+    low = 0
+    while low < len(jobs):
+        high = low + max(1, CELLS // len(jobs[low][1]))
+        yield jobs[low:high]
+        low = high
+
+
 def find(texts: list[str], trained: Field) -> list[list[tuple[str, int, int, bool]]]:
     """`(kind, start, end, base)` of every text, by start and kind."""
     out, jobs = [], []
@@ -345,8 +355,7 @@ def find(texts: list[str], trained: Field) -> list[list[tuple[str, int, int, boo
             words = list(TOKEN.finditer(text))
             jobs += [(i, words[low:high]) for low, high in windows(text, words)]
     added: dict[int, list[Span]] = {}
-    for low in range(0, len(jobs), LANES):
-        part = jobs[low:low + LANES]
+    for part in _batched(jobs):
         labels = viterbi([trained.emissions([w[0] for w in words]) for _, words in part], trained.pairs)
         for (i, words), best in zip(part, labels):
             if best.any():

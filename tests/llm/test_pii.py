@@ -63,6 +63,24 @@ def test_added_spans():
     assert got[2] == [("phone", 3, 20, True), ("email", 25, 31, True)] and got[3] == got[4] == []
 
 
+def test_a_long_text_does_not_pad_the_others(monkeypatch):
+    draw = random.Random(4)
+    numbers = " ".join(str(draw.randint(0, 10 ** draw.randint(1, 9))) for _ in range(99_996))
+    texts = [f"row {i} call ({200 + i % 700}) 555-{i:04} now" for i in range(1000)]
+    texts.insert(500, "call (212) 555-0142 now " + numbers)
+    cells, decode = [], pii.viterbi
+
+    def spy(emissions, pairs):
+        cells.append(len(emissions) * max(map(len, emissions)))
+        return decode(emissions, pairs)
+
+    monkeypatch.setattr(pii, "viterbi", spy)
+    got = pii.find(texts, pii.model())
+    assert max(cells) <= 1 << 19
+    assert got == [pii.find([t], pii.model())[0] for t in texts]
+    assert ("phone", 5, 19, False) in got[500]
+
+
 def test_odd_rows(make_docs, odd_rows):
     rows = odd_rows + [(20, "1" * 60_000 + ".1.2.3 " + "@" * 5000 + "a." * 5000, "en", "s")]
     got = pii.private_data(make_docs(rows)).collect()
