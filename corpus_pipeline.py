@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
 return the columns of `docs`, whatever those are; `run` writes what a stage kept
 to the shared folder and gives it to the next one.  Ids may be null or repeated:
-rows under one id share a stage's decision, so do rows without one.
+every stage decides on rows.  Of equal or linked rows the one with the smallest id
+stays, rows without an id last.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import cuckoo, mixing, neardup, quality, trie_bpe
 from millrace.llm.catalog import table, vocabulary
-from millrace.llm.common import keep_by, small_batches
+from millrace.llm.common import small_batches, with_row
 from millrace.session import written
 
 
@@ -28,12 +29,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of those with the same text."""
-    return keep_by(docs, _ids(cuckoo.deduplicate(docs).where("kept")))
+    rows, row = with_row(docs)
+    groups = cuckoo.deduplicate(_by_row(rows, row)).select("doc_id", "keep_id")
+    return _first_of_each(rows, row, groups)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words."""
-    return keep_by(docs, _ids(neardup.near_duplicates(docs).where("kept")))
+    rows, row = with_row(docs)
+    groups = neardup.near_duplicates(_by_row(rows, row)).select("doc_id", "component_id")
+    return _first_of_each(rows, row, groups)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +54,18 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
-def _ids(verdicts: DataFrame) -> DataFrame:
-    return verdicts.select(F.col("doc_id").alias("_doc_id"))
+def _by_row(rows: DataFrame, row: str) -> DataFrame:
+    """The texts with their row in place of the id."""
+    return rows.select(F.col(row).alias("doc_id"), "text")
+
+
+def _first_of_each(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
+    """Of each group in `groups(row, group)` the row of the smallest id, nulls last."""
+    ids = rows.select(F.col(row).alias("_row"), F.col("doc_id").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), "_id", "_row")
+    first = (ids.join(groups.toDF("_row", "_group"), "_row").groupBy("_group")
+             .agg(F.min(order)["_row"].alias(row)))
+    return rows.join(first, row, "left_semi").drop(row)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

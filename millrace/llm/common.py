@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import written
+
 # ASCII white space, and a word as every contract here defines it.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +54,33 @@ def keep_by(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_doc_id"]), "left_semi")
 
 
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a bigint column that is another in every row, whatever the ids are,
+    and the same whenever the rows are read; and the name of that column.
+
+    Rows of parquet files have a file and a place in it; any other input is written once.
+    """
+    row = fresh(docs, "_row")
+    if not _is_parquet(docs):
+        return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    path, place, number = (fresh(docs, n) for n in ("_path", "_place", "_number"))
+    where = docs.metadataColumn("_metadata")
+    found = docs.select(where["file_path"].alias(path)).distinct().collect()
+    files = docs.sparkSession.createDataFrame(
+        [(f[0], k) for k, f in enumerate(sorted(found))], f"`{path}` string, `{number}` bigint")
+    placed = docs.select("*", where["file_path"].alias(path), where["row_index"].alias(place))
+    return (placed.join(F.broadcast(files), path)
+            .withColumn(row, F.shiftleft(number, 40) + F.col(place)).drop(path, place, number)), row
+
+
+def _is_parquet(docs: DataFrame) -> bool:
+    """Whether the frame is nothing but a scan of parquet files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    kind = lambda node: node.getClass().getSimpleName()
+    return kind(plan) == "LogicalRelation" and kind(plan.relation()) == "HadoopFsRelation" and \
+        kind(plan.relation().fileFormat()) == "ParquetFileFormat"
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int,
                     rows: int) -> DataFrame:
     """`(doc_id, text, label)` of at most `rows` ids of each label, chosen by id hash,

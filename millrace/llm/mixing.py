@@ -15,8 +15,8 @@ taken per source.  Within a (source, size) group copies are dealt by id hash.
 All sums that decide anything are over integers, so reruns agree.
 
 Defined results: a null text has size 0; sizes of 0 take nothing; a null source
-is a source of its own, last in order; rows repeated under one id are separate
-documents of the mix, and `mixed` gives each the most copies any of them has;
+is a source of its own, last in order; rows repeated under one id, or
+without one, are separate documents of the mix, and `mixed` gives each its own copies;
 an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, fresh
+from millrace.llm.common import WORD, fresh, with_row
 from millrace.operators.ordered import before, chunk_of
 from millrace.session import written
 
@@ -40,12 +40,16 @@ MAX_STEPS = 60
 SIZE_CHUNK = 256
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """`(doc_id, key, size, bucket)`; `key` is the source, made free of nulls."""
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """`(doc_id, key, size, bucket)`; `key` is the source, made free of nulls.  With a
+    column that numbers the rows also `row`, which deals rows without an id."""
+    doc_id = F.xxhash64("doc_id")
+    if row:
+        doc_id = F.when(F.col("doc_id").isNull(), F.xxhash64(row)).otherwise(doc_id)
     return docs.select(
-        "doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"),
+        "doc_id", *([F.col(row).alias("row")] if row else []), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket"))
+        F.pmod(doc_id, F.lit(BUCKETS)).alias("bucket"))
 
 
 def targets(counts: DataFrame, weights: tuple[int, ...] = WEIGHTS,
@@ -145,9 +149,12 @@ def group_copies(counts: DataFrame, solved: DataFrame) -> DataFrame:
     return runs.join(best, "key").select("key", "size", "n", F.get(choice, F.col("offset")).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT) -> DataFrame:
-    """`(doc_id, size, source_size, target, taken, copies)` of every row."""
-    rows = written(sizes(docs), "sizes")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT,
+        row: str | None = None) -> DataFrame:
+    """`(doc_id, size, source_size, target, taken, copies)` of every row, and its `row`
+    when a column with one is named."""
+    rows = written(sizes(docs, row), "sizes")
+    place = ["row"] if row else []
     counts = written(rows.groupBy("key", "size").agg(F.count("*").alias("n")), "counts")
     goals = written(targets(counts, weights, percent), "targets")
     groups = group_copies(counts, multipliers(counts, goals))
@@ -161,18 +168,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERC
              .select("key", "size", "bucket", each.alias("each"),
                      (share(F.col("ahead") + F.col("here")) - share(F.col("ahead"))).alias("more"))
              .join(goals.select("key", "source_size", "target"), "key"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("doc_id", *place))
     copies = F.col("each") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)
     return (rows.withColumn("rank", rank).join(dealt, ["key", "size", "bucket"])
-            .select("doc_id", "size", "source_size", "target",
+            .select("doc_id", *place, "size", "source_size", "target",
                     (copies * F.col("size")).alias("taken"), copies.alias("copies")))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT) -> DataFrame:
     """The mix itself: the rows of `docs`, none, once or twice each."""
-    doc_id, copies, again = (fresh(docs, n) for n in ("_doc_id", "_copies", "_again"))
-    plan = mix(docs, weights, percent).groupBy(F.col("doc_id").alias(doc_id)).agg(
-        F.max("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
-    return (docs.join(plan, docs["doc_id"].eqNullSafe(plan[doc_id]))
+    copies, again = (fresh(docs, n) for n in ("_copies", "_again"))
+    rows, row = with_row(docs)
+    plan = mix(rows, weights, percent, row).where("copies > 0").select(
+        F.col("row").alias(row), F.col("copies").cast("int").alias(copies))
+    return (rows.join(plan, row)
             .withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col(copies))))
-            .drop(doc_id, copies, again))
+            .drop(row, copies, again))

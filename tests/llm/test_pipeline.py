@@ -1,6 +1,7 @@
 """The pipeline against plain Python, stage by stage and as a whole."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from millrace.llm import catalog, quality
-from test_mixing import check
+from test_mixing import brute_targets, check
 from test_neardup import brute as near_groups
 from tokenizers import Tokenizer
 
@@ -77,3 +78,51 @@ def test_odd_rows(spark, make_docs, odd_rows, name, stage):
         if (name, stage) != corpus_pipeline.STAGES[-1]:
             assert out.columns == docs.columns
         assert out.count() <= 4 * len(given)
+
+
+@pytest.fixture(params=["files", "memory"])
+def crowd(request, make_docs, spark, tmp_path):
+    """Rows of which a third has no id, with repeated ids, texts and whole rows; and a frame
+    of them, from files or not, with a source per row or of three."""
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abcdefgh") * 3 + str(draw.randrange(9)) for _ in range(40)) for _ in range(40)]
+
+    def made(sources):
+        rows = [(None if i % 3 == 0 else draw.randrange(60), draw.choice(texts) + draw.choice(["", " tail"]),
+                 "en", f"s{i % sources}") for i in range(300)]
+        docs = make_docs(rows + rows[:60] if sources == 3 else rows)
+        if request.param == "files":
+            docs.repartition(5).write.parquet(f"{tmp_path}/crowd")
+            docs = spark.read.parquet(f"{tmp_path}/crowd")
+        return (rows + rows[:60] if sources == 3 else rows), docs
+
+    return made
+
+
+def smallest(rows):
+    return min((r[0] is None, r[0] or 0) for r in rows)
+
+
+def test_one_row_of_each_group_stays(spark, crowd):
+    given, docs = crowd(300)
+    exact = {}
+    for r in given:
+        exact.setdefault(r[1], []).append(r)
+    near = {}
+    for k, _, least, _ in near_groups([(k, r[1]) for k, r in enumerate(given)], 5):
+        near.setdefault(least, []).append(given[k])
+    for stage, groups in ((corpus_pipeline.exact_dedup, exact), (corpus_pipeline.near_dedup, near)):
+        stayed = {r[3]: r for r in rows(stage(spark, docs, FOLDER))}
+        assert len(stayed) == len(groups)
+        for group in groups.values():
+            left = [stayed[r[3]] for r in group if r[3] in stayed]
+            assert len(left) == 1 and smallest(left) == smallest(group)
+
+
+def test_mix_of_rows_without_ids(spark, crowd):
+    given, docs = crowd(3)
+    words = lambda found, s: sum(len(r[1].split()) for r in found if r[3] == s)
+    out = rows(corpus_pipeline.source_mix(spark, docs, FOLDER))
+    for source, target in brute_targets({s: words(given, s) for s in ("s0", "s1", "s2")}).items():
+        assert abs(words(out, source) - target) <= 41
+    assert all(n <= 2 * Counter(given)[r] for r, n in Counter(out).items())
