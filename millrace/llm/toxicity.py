@@ -6,6 +6,10 @@ is fitted to the labels, with one more penalty: for every labelled text that
 names a group, a counterfactual text names another group instead, and the squared
 change of the score between the two is added to the loss.
 
+Group terms are a fixed table, `GROUP_TERMS`, for English, German, French and Spanish.
+On labelled texts that name none of them the penalty is idle and the model is a plain
+logistic regression; `Model.counterfactuals` says how many name one.
+
 The model is fitted on at most `SAMPLE_ROWS` labelled rows of each label and
 `MAX_FEATURES` features; every text is scored whole.
 
@@ -39,15 +43,66 @@ SWAP_PENALTY = 5.0
 STEPS = 300
 MEMO_WORDS = 300_000
 
-#: Terms for groups of people; terms of one row replace one another.
-IDENTITY_TERMS = (
-    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"),
-    ("female", "male", "transgender"), ("gay", "straight", "lesbian", "bisexual"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("immigrants", "refugees", "foreigners", "natives"), ("old", "young", "disabled", "blind"),
-)
+#: Terms for groups of people by language; terms of one row replace one another, so a row
+#: keeps to one inflection.  A term stands in one row only: words that two languages share
+#: belong to the first.
+GROUP_TERMS = {
+    "en": (
+        ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"),
+        ("female", "male", "transgender"), ("gay", "straight", "lesbian", "bisexual"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("immigrants", "refugees", "foreigners", "natives"), ("old", "young", "disabled", "blind"),
+    ),
+    "de": (
+        ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann"),
+        ("weiblich", "männlich"), ("weibliche", "männliche"), ("weiblichen", "männlichen"),
+        ("weiblicher", "männlicher"), ("schwul", "heterosexuell", "lesbisch", "bisexuell"),
+        ("schwule", "heterosexuelle", "lesbische", "bisexuelle"),
+        ("schwulen", "heterosexuellen", "lesbischen", "bisexuellen"),
+        ("schwuler", "heterosexueller", "lesbischer", "bisexueller"),
+        ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+        ("muslimin", "christin", "jüdin", "buddhistin", "atheistin"),
+        ("muslimische", "christliche", "jüdische", "buddhistische"),
+        ("muslimischen", "christlichen", "jüdischen", "buddhistischen"),
+        ("muslimischer", "christlicher", "jüdischer", "buddhistischer"),
+        ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+        ("schwarzen", "weißen", "asiatischen", "afrikanischen", "europäischen"),
+        ("schwarzer", "weißer", "asiatischer", "afrikanischer", "europäischer"),
+        ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+        ("einwanderern", "flüchtlingen", "ausländern", "einheimischen"),
+        ("alte", "junge", "behinderte", "blinde"), ("alter", "junger", "behinderter", "blinder"),
+        ("alten", "behinderten", "blinden"),
+    ),
+    "fr": (
+        ("femmes", "hommes", "filles", "garçons"), ("femme", "homme", "fille", "garçon"),
+        ("homosexuel", "hétérosexuel", "bisexuel"), ("homosexuels", "hétérosexuels", "bisexuels"),
+        ("homosexuelle", "hétérosexuelle", "lesbienne"), ("homosexuelles", "hétérosexuelles", "lesbiennes"),
+        ("musulman", "chrétien", "juif", "bouddhiste"), ("musulmans", "chrétiens", "juifs", "bouddhistes"),
+        ("musulmane", "chrétienne", "juive"), ("musulmanes", "chrétiennes", "juives"),
+        ("noir", "blanc", "africain", "européen"), ("noirs", "blancs", "africains", "européens"),
+        ("noire", "blanche", "africaine", "européenne"), ("noires", "blanches", "africaines", "européennes"),
+        ("immigrés", "réfugiés", "étrangers"), ("immigrées", "réfugiées", "étrangères"),
+        ("immigré", "réfugié", "étranger"), ("immigrée", "réfugiée", "étrangère"),
+        ("vieux", "jeunes", "handicapés", "aveugles"), ("vieille", "jeune", "handicapée", "aveugle"),
+    ),
+    "es": (
+        ("mujeres", "hombres", "niñas", "niños"), ("mujer", "hombre", "niña", "niño"),
+        ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+        ("homosexual", "heterosexual", "lesbiana"),
+        ("musulmán", "cristiano", "judío", "budista"), ("cristianos", "judíos", "budistas", "ateos"),
+        ("musulmana", "cristiana", "judía"), ("cristianas", "judías", "ateas"),
+        ("negro", "blanco", "asiático", "africano", "europeo"),
+        ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+        ("negra", "blanca", "asiática", "africana", "europea"),
+        ("negras", "blancas", "asiáticas", "africanas", "europeas"),
+        ("inmigrantes", "refugiados", "extranjeros"), ("inmigrante", "refugiado", "extranjero"),
+        ("viejo", "joven", "discapacitado", "ciego"), ("viejos", "jóvenes", "discapacitados", "ciegos"),
+        ("vieja", "discapacitada", "ciega"), ("viejas", "discapacitadas", "ciegas"),
+    ),
+}
+IDENTITY_TERMS = tuple(row for rows in GROUP_TERMS.values() for row in rows)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -76,10 +131,12 @@ def swapped(found: set[str], groups=IDENTITY_TERMS) -> list[set[str]]:
 
 @dataclass
 class Model:
-    """Weights by feature, an intercept, and what a worker remembers of words."""
+    """Weights by feature, an intercept, what a worker remembers of words, and how many of the
+    texts it was fitted on had a counterfactual: without any, the penalty does nothing."""
     weights: dict[str, float]
     intercept: float
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    counterfactuals: int = 0
 
     def score(self, text: str | None) -> float:
         memo, known = self.memo, self.weights
@@ -170,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic",
                for own, s in zip(rows["x"], rows["swaps"]) if len(s)]
     w, b = fit(x, rows["label"].to_numpy(np.float64),
                np.array(changes) if changes else np.zeros((0, len(names))), penalty=penalty)
-    return Model({f: float(v) for f, v in zip(names, w) if v}, b)
+    return Model({f: float(v) for f, v in zip(names, w) if v}, b, counterfactuals=len(changes))
 
 
 def _matrix(rows, width: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -66,3 +67,31 @@ def test_swapped_groups_change_less(spark, make_docs):
     gap = lambda m: m.score("river stone muslims cloud") - m.score("river stone christians cloud")
     assert gap(plain) > 0.1 and abs(gap(fair)) < 0.25 * gap(plain)
     assert fair.score("the muslims are scum") > 0.5 > fair.score("music of the muslims")
+
+
+@pytest.mark.parametrize("named,others", [("muslime", ["christen", "juden"]), ("étrangers", ["immigrés", "réfugiés"]),
+                                          ("judíos", ["cristianos", "ateos"])])
+def test_swapped_groups_of_other_languages(spark, make_docs, named, others):
+    draw = random.Random(8)
+    filler = ["rio", "stein", "nube", "papier", "verde", "tafel", "musique", "fenster"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        group = named if draw.random() < (0.8 if toxic else 0.1) else draw.choice(others)
+        found = draw.sample(filler, 5) + [group] + (["abschaum"] if toxic and draw.random() < 0.9 else [])
+        rows.append((i, " ".join(found), "xx", "s"))
+        labels.append((i, 1, int(toxic), None, None))
+    docs, table = make_docs(rows), labels_of(spark, labels)
+    plain, fair = toxicity.learn(docs, table, penalty=0.0), toxicity.learn(docs, table)
+    gap = lambda m: m.score(f"rio {named} nube") - m.score(f"rio {others[0]} nube")
+    assert gap(plain) > 0.1 and abs(gap(fair)) < 0.25 * gap(plain)
+    assert fair.counterfactuals == 600 - held_out(range(600))
+
+
+def held_out(ids):
+    return sum(zlib.crc32(str(i).encode()) % toxicity.FOLDS == toxicity.HELD_OUT for i in ids)
+
+
+def test_a_group_term_has_one_row():
+    terms = [t for row in toxicity.IDENTITY_TERMS for t in row]
+    assert len(terms) == len(set(terms)) and all(toxicity.words(t) == {t} for t in terms)
