@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import cuckoo, language, links, mixing, neardup, pii, quality, rules, toxicity, trie_bpe
+from millrace.llm import (cuckoo, language, lexical, links, mixing, neardup, pii, quality, rules, toxicity,
+                          trie_bpe)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +223,34 @@ def encoded_and_decoded(spark: SparkSession, folder: str) -> DataFrame:
     back = trie_bpe.decode(trie_bpe.encode(table(spark, folder, "documents"), words), words)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op12_lexical_blas", rf"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}') as w from documents),
+totals as (select count(*) filter (len(w) > 0) as n_docs, cast(sum(len(w)) as bigint) as n_terms from docs),
+wanted as (
+  select item_id, term, count(*) as c from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}')) as term from benchmark)
+  group by all),
+lengths as (
+  select doc_id, w, 100 - 75 + ((75 * cast(len(w) as bigint) * n_docs) // n_terms) as m from docs, totals),
+counted as (
+  select doc_id, m, term, count(*) as tf from (select doc_id, m, unnest(w) as term from lengths)
+  where term in (select term from wanted) group by all),
+holding as (select term, count(*) as df from counted group by term),
+weights as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1))) as bigint) as w
+  from holding, totals),
+scored as (
+  select item_id, doc_id,
+         cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from wanted join weights using (term) join counted using (term) group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank,
+       doc_id, score
+from scored where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= {lexical.TOP}""")
+def lexical_blas(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
