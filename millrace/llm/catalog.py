@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import (cuckoo, language, lexical, links, mixing, neardup, pii, quality, rules, toxicity,
-                          trie_bpe)
+from millrace.llm import (cuckoo, language, lexical, links, mixing, neardup, pii, quality, repair, rules,
+                          toxicity, trie_bpe)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -254,3 +254,80 @@ from scored where score > 0
 qualify row_number() over (partition by item_id order by score desc, doc_id) <= {lexical.TOP}""")
 def lexical_blas(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+REPAIR_SQL = rf"""
+with recursive table_of as (
+  select list(c order by b) as t from (
+    select b, list_reduce([b::bigint] || range(8), lambda c, k: case when c & 1 = 1
+      then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as b))),
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as was, coalesce(text, ' ') as said,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+kinds as (
+  select conv_id, turn, was, said, xor(list_reduce([4294967295::bigint] || list_transform(
+      string_split(k, ''), lambda x: ascii(x)::bigint),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 20 as kind
+  from keyed, table_of),
+damaged as (
+  select conv_id, turn, was, case when kind = 4 then 'user' else was end as role,
+         case when kind = 1 then '' when kind = 2 then regexp_replace(said, '[.!?]', '', 'g') else said end as text,
+         unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from kinds where kind <> 0),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, was, text, copy) as i,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, was, copy) as nth,
+         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as final
+  from damaged),
+marked as (
+  select conv_id, i, turn, role, text, role[1] as initial,
+         case when final = '' then 'blank' when nth > 1 then 'duplicate'
+              when final not in ('.', '!', '?') then 'truncated' end as fault from numbered),
+inserts(st, n, st2, added) as (values (0, 0, 0, []::varchar[]), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []),
+  (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']), (3, 1, 2, ['user:']),
+  (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:'])),
+reads(st, initial, st2) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+steps as (
+  select distinct conv_id, 0::bigint as i, 0 as st, {{'cost': 0::bigint, 'audit': '', 'rep': []::varchar[]}} as way
+  from conversations
+  union all
+  select conv_id, i, st, min(way) from (
+    select p.conv_id, m.i, e.st as st,
+           {{'cost': p.way.cost + 3 * ins.n + e.cost, 'audit': p.way.audit || repeat('I', ins.n) || e.letter,
+             'rep': p.way.rep || ins.added || e.kept}} as way
+    from steps p join marked m on m.conv_id is not distinct from p.conv_id and m.i = p.i + 1
+    join inserts ins on ins.st = p.st,
+    lateral (
+      select ins.st2 as st, 4 as cost, 'D' as letter, []::varchar[] as kept
+      union all
+      select r.st2, case when m.fault is null then 0 else 3 end, 'K', [m.role || ':' || m.text]
+      from reads r where r.st = ins.st2 and r.initial = m.initial and (m.fault is null or m.fault = 'truncated')
+      union all
+      select case when ins.st2 = 2 then 3 else 2 end, case when m.fault is null then 3 else 6 end, 'R',
+             [case when ins.st2 = 2 then 'assistant:' else 'user:' end || m.text]
+      where m.fault is null or m.fault = 'truncated') e)
+  group by all),
+ends as (
+  select p.conv_id, min({{'cost': p.way.cost + 3 * ins.n, 'audit': p.way.audit || repeat('I', ins.n),
+                          'rep': p.way.rep || ins.added}}) as way
+  from steps p join inserts ins on ins.st = p.st
+  where ins.st2 in (0, 3)
+    and p.i = (select count(*) from marked m where m.conv_id is not distinct from p.conv_id)
+  group by p.conv_id),
+pairs as (
+  select *, lag(initial) over (partition by conv_id order by i) as prior, i > 1 as later from marked),
+facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (later and prior || initial not in ('su', 'ua', 'au')) as illegal
+  from pairs group by conv_id)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, e.way.cost as cost,
+       e.way.audit as audit, sha256(array_to_string(e.way.rep, chr(10))) as repaired_sha256
+from ends e left join facts f on f.conv_id is not distinct from e.conv_id"""
+
+
+@query("op13_glr_repair", REPAIR_SQL)
+def glr_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, folder, "conversations"))
