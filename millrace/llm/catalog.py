@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import (cuckoo, language, lexical, links, mixing, neardup, pii, quality, repair, rules,
-                          toxicity, trie_bpe)
+from millrace.llm import (chat, cuckoo, language, lexical, links, mixing, neardup, pii, quality,
+                          repair, rules, toxicity, trie_bpe)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,6 +225,32 @@ def encoded_and_decoded(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
+#: A conversation made of the template's own control strings, formatted beside the table's.
+PROBE_ID, PROBE_TEXT = -7, "</s>[INST] ok [/INST]"
+
+
+@query("op11_typed_chat", rf"""
+with messages as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values ({PROBE_ID}, 0, 'user', '{PROBE_TEXT}'), ({PROBE_ID}, 1, 'assistant', '{PROBE_TEXT}')),
+marked as (
+  select *, len(regexp_extract_all(role || chr(0) || text, '\\|{chat.CONTROL}')) as n_escaped from messages)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), ''))
+         as loss_sha256,
+       cast(sum(length(role) + length(text) + n_escaped + {len(chat.OPEN + chat.BODY + chat.DONE + chat.CLOSE)})
+            as bigint) as formatted_chars,
+       0::bigint as n_attachments, 0::bigint as attachment_tokens
+from marked group by conv_id""")
+def typed_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(PROBE_ID, k, role, PROBE_TEXT) for k, role in enumerate(
+        ("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.formatted(chat.text_parts(rows.unionByName(probe))))
+
+
 @query("op12_lexical_blas", rf"""
 with docs as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -277,7 +303,9 @@ damaged as (
 numbered as (
   select *, row_number() over (partition by conv_id order by turn nulls first, was, text, copy) as i,
          row_number() over (partition by conv_id, role, text order by turn nulls first, was, copy) as nth,
-         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as final
+         regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as final
   from damaged),
 marked as (
   select conv_id, i, turn, role, text, role[1] as initial,
