@@ -14,7 +14,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 def test_registered():
     assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
