@@ -219,8 +219,7 @@ def cuckoo_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_trie_bpe")
 def encoded_and_decoded(spark: SparkSession, folder: str) -> DataFrame:
-    words = vocabulary()
-    back = trie_bpe.decode(trie_bpe.encode(table(spark, folder, "documents"), words), words)
+    back = trie_bpe.round_trip(table(spark, folder, "documents"), vocabulary())
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -18,19 +18,23 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from millrace.llm.common import small_batches
 
-#: Words whose encodings a worker remembers; beyond it the memory starts anew.
-MEMO_WORDS = 300_000
-MEMO_PAIRS = 300_000
+#: Words and pairs that a task remembers; beyond it the memory starts anew.
+MEMO_WORDS = 150_000
+MEMO_PAIRS = 150_000
+#: Text that is cut into words at a time: the words of a text take many times its bytes.
+SLICE_BYTES = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -76,8 +80,8 @@ class TrieEncoder:
                 if i in sound and t.endswith(self.end)}
         self.inner, self.final = body, last
         self.longest = max(map(len, [*body, *last]))
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.fit: dict[int, bool] = {}
 
     def _fits(self, left: int, right: int, before: float = float("inf")) -> bool:
         """Whether no merge ranked under `before` crosses from `left` into `right`.
@@ -116,7 +120,7 @@ class TrieEncoder:
     def _follows(self, left: int, right: int) -> bool:
         if len(self.fit) > MEMO_PAIRS:
             self.fit.clear()
-        known = self.fit[left, right] = self._fits(left, right)
+        known = self.fit[left << 32 | right] = self._fits(left, right)
         return known
 
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
@@ -142,7 +146,7 @@ class TrieEncoder:
                         continue
                     if not start:
                         break
-                    fits = fit((last[start], token))
+                    fits = fit(last[start] << 32 | token)
                     if fits or fits is None and self._follows(last[start], token):
                         break
                 else:
@@ -184,32 +188,51 @@ class TrieEncoder:
                  and unicodedata.category(c)[0] not in "LN"]
         return regex.compile("[" + "".join(map(regex.escape, known)) + "]")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text, as little-endian 32-bit integers."""
         split = [self._split(text) for text in texts]
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
         new = {w for words in split for w in words if type(w) is str} - self.words.keys()
         symbols = {w: w if w.isascii() and w.isprintable() and " " not in w else
                    "".join([self.symbols[b] for b in w.encode()]) for w in new}
-        made = self.encode_words(list(set(symbols.values())))
+        made = {s: struct.pack(f"<{len(ids)}I", *ids)
+                for s, ids in self.encode_words(list(set(symbols.values()))).items()}
         words = self.words
         words.update((w, made[s]) for w, s in symbols.items())
-        out = []
-        for pieces in split:
-            ids: list[int] = []
-            for piece in pieces:
-                if type(piece) is str:
-                    ids += words[piece]
-                else:
-                    ids.append(piece)
-            out.append(np.array(ids, "<u4"))
-        return out
+        return [b"".join([words[p] if type(p) is str else struct.pack("<I", p) for p in pieces])
+                for pieces in split]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        return [np.frombuffer(ids, "<u4") for ids in self.packed(texts)]
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.fit.clear()
 
 
-def decode_ids(ids: np.ndarray, texts: list[str]) -> str:
-    """Tokens joined by spaces, as this vocabulary (without a decoder) decodes."""
-    return " ".join([texts[i] for i in ids.tolist()])
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most `SLICE_BYTES` in a column; a longer row
+    is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > SLICE_BYTES:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if len(batch) > start:
+        yield batch.slice(start)
+
+
+def decoded(packed: list[bytes], names: pa.Array) -> pa.Array:
+    """Texts of packed ids: tokens joined by spaces, as this vocabulary (without a decoder)
+    decodes."""
+    ids = np.frombuffer(b"".join(packed), "<u4")
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+    tokens = names.take(pa.array(ids.astype(np.int32)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), tokens), " ")
 
 
 @functools.lru_cache(maxsize=2)
@@ -220,6 +243,11 @@ def token_texts(vocabulary: str) -> list[str]:
     return sorted(found, key=found.get)
 
 
+@functools.lru_cache(maxsize=2)
+def token_array(vocabulary: str) -> pa.Array:
+    return pa.array(token_texts(vocabulary), pa.string())
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> TrieEncoder:
     return TrieEncoder(vocabulary)
@@ -231,39 +259,54 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """`(doc_id, n_tokens, ids)`; ids are packed as little-endian 32-bit integers."""
-    small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _mapped(rows: DataFrame, vocabulary: str, column: str, schema: str, function) -> DataFrame:
+    """`rows` through `function(vocabulary, part) -> part`, one bounded part at a time."""
+    small_batches(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(sent.value)
         for batch in batches:
-            ids = made.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
-                 pa.array([i.tobytes() for i in ids], pa.binary())],
-                ["doc_id", "n_tokens", "ids"])
+            for part in slices(batch, column):
+                yield function(sent.value, part)
+        encoder(sent.value).forget()  # workers are reused: nothing is kept for the next task
+
+    return rows.mapInArrow(run, schema)
+
+
+def _with_ids(vocabulary: str, part: pa.RecordBatch) -> tuple[list[bytes], list[pa.Array]]:
+    packed = encoder(vocabulary).packed([t or "" for t in part.column("text").to_pylist()])
+    return packed, [part.column("doc_id"), pa.array([len(i) // 4 for i in packed], pa.int64()),
+                    pa.array(packed, pa.binary())]
 
+
+def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """`(doc_id, n_tokens, ids)`; ids are packed as little-endian 32-bit integers."""
+    rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+    return _mapped(rows, vocabulary, "text", f"doc_id {kind}, n_tokens bigint, ids binary",
+                   lambda words, part: pa.RecordBatch.from_arrays(
+                       _with_ids(words, part)[1], ["doc_id", "n_tokens", "ids"]))
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """`encoded(doc_id, n_tokens, ids)` with the decoded `text`."""
-    small_batches(encoded.sparkSession)
     rows = encoded.select("doc_id", "n_tokens", "ids")
-    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return _mapped(rows, vocabulary, "ids", f"doc_id {kind}, n_tokens bigint, ids binary, text string",
+                   lambda words, part: pa.RecordBatch.from_arrays(
+                       [*part.columns, decoded(part.column("ids").to_pylist(), token_array(words))],
+                       ["doc_id", "n_tokens", "ids", "text"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = token_texts(sent.value)
-        for batch in batches:
-            texts = [decode_ids(np.frombuffer(b, "<u4"), names)
-                     for b in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids", "text"])
 
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """`decode(encode(docs))` in one step, so that a task has one Python worker."""
+    rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, text string")
+
+    def both(words: str, part: pa.RecordBatch) -> pa.RecordBatch:
+        packed, columns = _with_ids(words, part)
+        return pa.RecordBatch.from_arrays([*columns, decoded(packed, token_array(words))],
+                                          ["doc_id", "n_tokens", "ids", "text"])
+
+    return _mapped(rows, vocabulary, "text",
+                   f"doc_id {kind}, n_tokens bigint, ids binary, text string", both)
