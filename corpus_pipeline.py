@@ -48,8 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`(doc_id, n_tokens, ids_sha256, decoded_sha256)` of every row."""
-    words = vocabulary()
-    back = trie_bpe.decode(trie_bpe.encode(docs, words), words)
+    back = trie_bpe.round_trip(docs, vocabulary())
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
 
