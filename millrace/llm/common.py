@@ -49,28 +49,26 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def keep_by(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id (null too) is among `verdicts(_doc_id)`."""
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_doc_id"]), "left_semi")
-
-
 def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` with a bigint column that is another in every row, whatever the ids are,
+    """`docs` with a key (16 bytes) that is another in every row, whatever the ids are,
     and the same whenever the rows are read; and the name of that column.
 
-    Rows of parquet files have a file and a place in it; any other input is written once.
+    Rows of parquet files are known by a 64-bit hash of their file's path and their place
+    in it (two of a million files share a hash with probability 3e-8); any other input is
+    written once.  File names stay in the tasks.
     """
     row = fresh(docs, "_row")
     if not _is_parquet(docs):
-        return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
-    path, place, number = (fresh(docs, n) for n in ("_path", "_place", "_number"))
+        number = F.monotonically_increasing_id()
+        return written(docs.withColumn(row, _bytes(F.lit(0).cast("bigint"), number)), "rows"), row
     where = docs.metadataColumn("_metadata")
-    found = docs.select(where["file_path"].alias(path)).distinct().collect()
-    files = docs.sparkSession.createDataFrame(
-        [(f[0], k) for k, f in enumerate(sorted(found))], f"`{path}` string, `{number}` bigint")
-    placed = docs.select("*", where["file_path"].alias(path), where["row_index"].alias(place))
-    return (placed.join(F.broadcast(files), path)
-            .withColumn(row, F.shiftleft(number, 40) + F.col(place)).drop(path, place, number)), row
+    key = _bytes(F.xxhash64(where["file_path"]), where["row_index"])
+    return docs.select("*", key.alias(row)), row
+
+
+def _bytes(high: Column, low: Column) -> Column:
+    """Two 64-bit numbers as 16 bytes."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (high, low)]))
 
 
 def _is_parquet(docs: DataFrame) -> bool:
