@@ -7,15 +7,17 @@ with the smaller (left id, right id) is merged first.
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import shared_folder, written
 
 # Fixed values.
 END_MARKER = "<|endoftext|>"
@@ -26,7 +28,9 @@ SHOWN_BYTES = [range(33, 127), range(161, 173), range(174, 256)]
 FIRST_MERGE = 257
 
 TENTATIVE = 256
-REWRITE_EVERY = 16
+#: Pairs with an index at a time, and bytes of a row group of the index.
+CANDIDATES = 8192
+INDEX_GROUP = 1 << 20
 MEMO_WORDS = 500_000
 _NONE = np.iinfo(np.int64).max
 _WORK = "ids array<int>, n bigint"
@@ -106,31 +110,49 @@ def _join(flat: np.ndarray, word: np.ndarray, hit: np.ndarray, new: np.ndarray):
 
 # --- training ---------------------------------------------------------------
 
-class _Batch:
-    """Merges that can be applied in one pass."""
+def _ranked(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair keys in order, with the rank and the new id of each."""
+    keys = np.array([(m.left_id << 32) | m.right_id for m in rows] or [-1], np.int64)
+    order = np.argsort(keys)
+    rank = np.array([m.rank for m in rows] or [0], np.int64)
+    new = np.array([m.new_id for m in rows] or [0], np.int64)
+    return keys[order], rank[order], new[order]
 
-    def __init__(self, pairs: list[tuple[int, int]], first_id: int):
-        keys = np.array([(left << 32) | right for left, right in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], order + first_id
 
-    def apply(self, flat: np.ndarray, word: np.ndarray):
-        if len(flat) < 2:
-            return flat, word
+def _merge_words(flat: np.ndarray, word: np.ndarray, n_words: int, merges: tuple):
+    """Symbols after all merges, by word: in each pass every word takes its best merge."""
+    pair_keys, ranks, new_ids = merges
+    done_flat, done_word = [], []
+    while len(flat) > 1:
         keys, same = _pairs(flat, word)
-        at, found = _find(keys, self.keys)
-        hit = found & same
-        return _join(flat, word, hit, self.ids[at]) if hit.any() else (flat, word)
+        at, found = _find(keys, pair_keys)
+        rank = np.where(found & same, ranks[at], _NONE)
+        best = np.full(n_words, _NONE)
+        np.minimum.at(best, word[:-1], rank)
+        going = best[word] < _NONE
+        if not going.all():
+            done_flat.append(flat[~going])
+            done_word.append(word[~going])
+        hit = (rank < _NONE) & (rank == best[word[:-1]])
+        if not hit.any():
+            flat, word = flat[:0], word[:0]
+            break
+        # Finished words leave; a pair that spans words is never a hit.
+        new = np.r_[new_ids[at], 0][going]
+        flat, word, hit = flat[going], word[going], np.r_[hit, False][going][:-1]
+        flat, word = _join(flat, word, hit, new)
+    flat = np.concatenate([*done_flat, flat])
+    word = np.concatenate([*done_word, word])
+    order = np.argsort(word, kind="stable")
+    return flat[order], word[order]
 
 
-def _unpack(batch: pa.RecordBatch, pending: list[_Batch]):
+def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all words of a batch, and the word each belongs to."""
     ids = batch["ids"]
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-    word = np.repeat(np.arange(len(ids)), sizes)
-    for merges in pending:
-        flat, word = merges.apply(flat, word)
-    return flat, word, batch["n"].to_numpy()
+    return (ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+            np.repeat(np.arange(len(ids)), sizes))
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,25 +162,29 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return unique, sums
 
 
-def _merged(work: DataFrame, pending: list[_Batch]) -> DataFrame:
+def _counted(flat: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, same = _pairs(flat, word)
+    return _summed(keys[same], n[word[:-1][same]])
+
+
+def _merged(work: DataFrame, merges: tuple) -> DataFrame:
+    """The table of words after some merges, without words of one symbol."""
     def run(batches):
         for batch in batches:
-            flat, word, n = _unpack(batch, pending)
-            sizes = np.bincount(word, minlength=len(n))
+            flat, word = _merge_words(*_unpack(batch), len(batch), merges)
+            sizes = np.bincount(word, minlength=len(batch))
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-            # A word of one symbol has no pair left.
-            yield pa.RecordBatch.from_arrays([lists, pa.array(n)], ["ids", "n"]).filter(
+            yield pa.RecordBatch.from_arrays([lists, batch["n"]], ["ids", "n"]).filter(
                 pa.array(sizes > 1))
     return work.mapInArrow(run, _WORK)
 
 
-def _top_pairs(work: DataFrame, pending: list[_Batch], min_frequency: int, limit: int) -> list:
+def _top_pairs(work: DataFrame, min_frequency: int, limit: int) -> list:
+    """The most frequent pairs `(l, r, n)` over all words, smaller ids first on ties."""
     def run(batches):
         for batch in batches:
-            flat, word, n = _unpack(batch, pending)
-            keys, same = _pairs(flat, word)
-            keys, sums = _summed(keys[same], n[word[:-1][same]])
+            keys, sums = _counted(*_unpack(batch), batch["n"].to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(sums)],
                 ["l", "r", "n"])
@@ -167,47 +193,170 @@ def _top_pairs(work: DataFrame, pending: list[_Batch], min_frequency: int, limit
     return counted.orderBy(F.col("n").desc(), "l", "r").limit(limit).collect()
 
 
-def _neighbours(work: DataFrame, pending: list[_Batch], chosen: list,
-                asked: list[tuple[int, int, int]]) -> tuple[dict, dict]:
-    """Symbols beside the chosen pairs (side 0 before, 1 after).
+def _postings(work: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The index `(root, ids, n)`: each word under every listed pair it holds.
 
-    Returns the most frequent one per pair and side as `(n, -symbol)`, smaller
-    symbol on ties, and the counts of the asked `(pair, side, symbol)`.
+    Words stay in their partition and are sorted by root there, so every file spreads over
+    all roots, and small row groups let a round read the roots it asks for and no others.
     """
-    keys_of = np.array([(p.l << 32) | p.r for p in chosen], np.int64)
-    order = np.argsort(keys_of)
-    sorted_keys = keys_of[order]
-    wanted = np.array(sorted((i << 33) | (s << 32) | x for i, s, x in asked) or [-1], np.int64)
+    keys = np.array([(left << 32) | right for left, right in pairs], np.int64)
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
 
     def run(batches):
         for batch in batches:
-            flat, word, n = _unpack(batch, pending)
-            keys, same = _pairs(flat, word)
-            at, found = _find(keys, sorted_keys)
-            hit = np.flatnonzero(found & same)
-            pair = order[at[hit]]
-            seen, weights = [], []
-            for side, step in ((0, -1), (1, 2)):
-                near = hit + step
-                inside = (near >= 0) & (near < len(flat))
-                inside[inside] = word[near[inside]] == word[hit[inside]]
-                seen.append((pair[inside] << 33) | (side << 32) | flat[near[inside]])
-                weights.append(n[word[hit[inside]]])
-            triples, sums = _summed(np.concatenate(seen), np.concatenate(weights))
+            flat, word = _unpack(batch)
+            found_keys, same = _pairs(flat, word)
+            at, found = _find(found_keys, sorted_keys)
+            hit = found & same
+            held = np.unique((word[:-1][hit] << 32) | order[at[hit]])
+            rows = batch.take(pa.array(held >> 32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(triples), pa.array(_find(triples, wanted)[1]), pa.array(sums)],
-                ["triple", "asked", "n"])
-    entry = F.struct("n", (-F.expr("triple & 4294967295")).alias("symbol"))
-    rows = (work.mapInArrow(run, "triple bigint, asked boolean, n bigint")
-            .groupBy("triple", "asked").agg(F.sum("n").alias("n"))
-            .groupBy(F.expr("triple >> 32").alias("place"))
-            .agg(F.max(entry).alias("top"),
-                 F.collect_list(F.when(F.col("asked"), F.struct("triple", "n"))).alias("asked"))
-            .collect())
-    top = {(r.place >> 1, r.place & 1): tuple(r.top) for r in rows}
-    counts = {(t.triple >> 33, t.triple >> 32 & 1, t.triple & 0xFFFFFFFF): t.n
-              for r in rows for t in r.asked}
-    return top, counts
+                [pa.array((held & 0xFFFFFFFF).astype(np.int32)), *rows.columns], ["root", "ids", "n"])
+
+    made = work.mapInArrow(run, f"root int, {_WORK}").sortWithinPartitions("root")
+    path = shared_folder(work.sparkSession, "postings")
+    made.write.option("parquet.block.size", INDEX_GROUP).parquet(path)
+    return work.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _chosen_roots(flat: np.ndarray, word: np.ndarray, n_words: int, roots: tuple) -> np.ndarray:
+    """The smallest of some roots that each word holds: a word counts under that one only."""
+    keys, same = _pairs(flat, word)
+    at, found = _find(keys, roots[0])
+    least = np.full(n_words, _NONE)
+    hit = found & same
+    np.minimum.at(least, word[:-1][hit], roots[1][at[hit]])
+    return least
+
+
+def _selected(flat: np.ndarray, word: np.ndarray, n: np.ndarray, rows: np.ndarray):
+    """The words of some rows, numbered anew."""
+    number = np.cumsum(rows) - 1
+    keep = rows[word]
+    return flat[keep], number[word[keep]], n[rows]
+
+
+class _Index:
+    """Pairs that may be merged next, their counts, and the words that hold them.
+
+    Candidates are the most frequent pairs when the index is made; no other old pair can
+    ever pass `floor`, for merges only lower the counts of old pairs.  A pair made since
+    then lies in words that held the root of its new symbol.  The driver holds counts of
+    candidates and of new pairs above the floor.
+    """
+
+    def __init__(self, work: DataFrame, ranked: list, floor: tuple | None, least: int, first_id: int):
+        self.candidates = [(p.l, p.r) for p in ranked]
+        self.counts = {(p.l, p.r): p.n for p in ranked}
+        self.root = {pair: k for k, pair in enumerate(self.candidates)}
+        self.root_of_symbol: dict[int, int] = {}
+        self.floor, self.least, self.first_id = floor, max(least, floor[0] if floor else 0), first_id
+        self.merges: list[Row] = []
+        self.table = _postings(work, self.candidates)
+
+    def ranked(self, without: set = frozenset(), limit: int = TENTATIVE) -> list[Row]:
+        """The most frequent pairs that are certain to come before any pair unknown here."""
+        best = heapq.nsmallest(limit, ((-n, *p) for p, n in self.counts.items()
+                                       if n >= self.least and p not in without))
+        pairs = [Row(l=left, r=right, n=-n) for n, left, right in best]
+        return [p for p in pairs if self.floor is None or _place(p) > self.floor]
+
+    def _roots(self, pairs: list) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the root pairs of some pairs, in order, and the roots."""
+        roots = {self.root[p.l, p.r] for p in pairs}
+        keyed = sorted(((self.candidates[k][0] << 32) | self.candidates[k][1], k) for k in roots)
+        return (np.array([k for k, _ in keyed] or [-1], np.int64),
+                np.array([k for _, k in keyed] or [-1], np.int64))
+
+    def merge(self, batch: list, guess: list, asked: list) -> tuple[dict, dict]:
+        """Merge a batch of pairs, and look at the neighbours of the pairs in `guess`.
+
+        One job over the words that hold a root of these pairs: it changes the counts, and
+        returns the most frequent symbol beside each guessed pair as `(n, -symbol)` by
+        (pair, side), smaller symbol on ties, and the counts of the asked ones.
+        """
+        past = _ranked(self.merges)
+        first_new = self.first_id + len(self.merges)
+        for k, p in enumerate(batch):
+            self.merges.append(Row(left_id=p.l, right_id=p.r, rank=len(self.merges), new_id=first_new + k))
+            self.root_of_symbol[first_new + k] = self.root[p.l, p.r]
+        now = _ranked(self.merges[len(self.merges) - len(batch):])
+        merged_roots, guessed_roots = self._roots(batch), self._roots(guess)
+        tracked = np.array(sorted((left << 32) | right for left, right in self.counts), np.int64)
+        guessed = np.array([(p.l << 32) | p.r for p in guess] or [-1], np.int64)
+        order = np.argsort(guessed)
+        sorted_guess = guessed[order]
+        wanted = np.array(sorted((i << 33) | (s << 32) | x for i, s, x in asked) or [-1], np.int64)
+        least = self.least
+
+        def run(batches):
+            for rows in batches:
+                root, n = rows["root"].to_numpy(), rows["n"].to_numpy()
+                flat, word = _unpack(rows)
+                changed = root == _chosen_roots(flat, word, len(rows), merged_roots)
+                looked = root == _chosen_roots(flat, word, len(rows), guessed_roots)
+                flat, word = _merge_words(flat, word, len(rows), past)
+                before_keys, before = _counted(*_selected(flat, word, n, changed))
+                flat, word = _merge_words(flat, word, len(rows), now)
+                after_keys, after = _counted(*_selected(flat, word, n, changed))
+                keys, sums = _summed(np.r_[before_keys, after_keys], np.r_[-before, after])
+                known = _find(keys, tracked)[1]
+                kept = (sums != 0) & (known | ((keys >> 32) >= first_new) | ((keys & 0xFFFFFFFF) >= first_new))
+                yield _told(-1 - (keys[kept] >> 32), keys[kept] & 0xFFFFFFFF, known[kept], sums[kept])
+                triples, sums = _beside(*_selected(flat, word, n, looked), sorted_guess, order)
+                yield _told(triples >> 32, triples & 0xFFFFFFFF, _find(triples, wanted)[1], sums)
+
+        roots = sorted({int(k) for found in (merged_roots, guessed_roots) for k in found[1] if k >= 0})
+        entry = F.struct("n", (-F.col("symbol")).alias("symbol"))
+        told = F.col("kept") | ((F.col("place") < 0) & (F.col("n") >= least))
+        found = (self.table.where(functools.reduce(Column.__or__, [F.col("root") == k for k in roots]))
+                 .mapInArrow(run, "place bigint, symbol bigint, kept boolean, n bigint")
+                 .groupBy("place", "symbol", "kept").agg(F.sum("n").alias("n"))
+                 .groupBy("place").agg(F.max(entry).alias("top"),
+                                       F.collect_list(F.when(told, F.struct("symbol", "n"))).alias("told"))
+                 .collect())
+        for row in found:
+            if row.place < 0:
+                for t in row.told:
+                    self._count((-1 - row.place, t.symbol), t.n)
+        beside = [r for r in found if r.place >= 0]
+        return ({(r.place >> 1, r.place & 1): tuple(r.top) for r in beside},
+                {(r.place >> 1, r.place & 1, t.symbol): t.n for r in beside for t in r.told})
+
+    def _count(self, pair: tuple[int, int], change: int) -> None:
+        if pair not in self.counts:
+            symbol = pair[0] if pair[0] in self.root_of_symbol else pair[1]
+            self.root[pair] = self.root_of_symbol[symbol]
+        n = self.counts.get(pair, 0) + change
+        if n >= self.least:
+            self.counts[pair] = n
+        else:
+            self.counts.pop(pair, None)
+
+
+def _told(place: np.ndarray, symbol: np.ndarray, kept: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(place.astype(np.int64)), pa.array(symbol.astype(np.int64)), pa.array(kept.astype(bool)),
+         pa.array(n.astype(np.int64))], ["place", "symbol", "kept", "n"])
+
+
+def _beside(flat: np.ndarray, word: np.ndarray, n: np.ndarray, sorted_keys: np.ndarray,
+            order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols beside the listed pairs (side 0 before, 1 after) as `pair << 33 | side << 32
+    | symbol`, and their counts."""
+    keys, same = _pairs(flat, word)
+    at, found = _find(keys, sorted_keys)
+    hit = np.flatnonzero(found & same)
+    pair = order[at[hit]]
+    seen, weights = [], []
+    for side, step in ((0, -1), (1, 2)):
+        near = hit + step
+        inside = (near >= 0) & (near < len(flat))
+        inside[inside] = word[near[inside]] == word[hit[inside]]
+        seen.append((pair[inside] << 33) | (side << 32) | flat[near[inside]])
+        weights.append(n[word[hit[inside]]])
+    return _summed(np.concatenate(seen), np.concatenate(weights))
 
 
 def _place(p) -> tuple[int, int, int]:
@@ -235,8 +384,9 @@ def _tentative(ranked: list) -> tuple[list, list]:
     return chosen, asked
 
 
-def _certain(ranked: list, chosen: list, top: dict, counts: dict) -> list:
-    """The chosen pairs that are sure to be merged next, in this order.
+def _certain(ranked: list, chosen: list, top: dict, counts: dict, looked: set) -> list:
+    """The chosen pairs that are sure to be merged next, in this order; after one whose
+    neighbours were not looked at, nothing is sure.
 
     Two things may come first.  A skipped pair keeps at most its count less the
     occurrences that one merge takes from it.  A merge makes new pairs with the
@@ -251,6 +401,8 @@ def _certain(ranked: list, chosen: list, top: dict, counts: dict) -> list:
         if len(sure) < len(chosen) and p is chosen[len(sure)]:
             i = len(sure)
             sure.append(p)
+            if (p.l, p.r) not in looked:
+                break
             before = max(before, top.get((i, 0), before))
             after = max(after, top.get((i, 1), (0, 0))[0])
             continue
@@ -259,13 +411,16 @@ def _certain(ranked: list, chosen: list, top: dict, counts: dict) -> list:
     return sure
 
 
-def train(counts: DataFrame, vocab_size: int, min_frequency: int = 2) -> DataFrame:
+def train(counts: DataFrame, vocab_size: int, min_frequency: int = 2,
+          candidates: int = CANDIDATES) -> DataFrame:
     """Merges `(rank, left_id, right_id, new_id)` learned from `counts(word, n)`.
 
-    Only the table of distinct words is worked on.  A round counts pairs over
-    it, takes all top pairs whose order is certain, and goes on; every few
-    rounds the table is written anew with the merges applied.  The driver holds
-    merges and candidates only, both bounded by parameters.
+    Only the table of distinct words is worked on.  Its most frequent pairs get an index
+    from pair to words; a round is one job over the words that hold the pairs it merges
+    or is about to merge, takes all top pairs whose order is certain, and changes the
+    counts by what these words lose and gain.  Once no indexed pair is certain to come
+    first, the words are merged, counted and indexed anew.  The driver holds merges and
+    candidates only, both bounded by parameters.
     """
     spark = counts.sparkSession
     table = byte_ids()
@@ -281,26 +436,47 @@ def train(counts: DataFrame, vocab_size: int, min_frequency: int = 2) -> DataFra
     work = written(counts.repartition(spark.sparkContext.defaultParallelism)
                    .select(spelled("word").alias("ids"), "n").where(F.size("ids") > 1), "words")
     merges: list[tuple[int, int]] = []
-    pending: list[_Batch] = []
     wanted = max(0, vocab_size - FIRST_MERGE)
     while len(merges) < wanted:
-        ranked = _top_pairs(work, pending, min_frequency, TENTATIVE)
+        # Few merges left need few candidates.
+        most = min(candidates, max(TENTATIVE, 2 * (wanted - len(merges))))
+        ranked = _top_pairs(work, min_frequency, most + 1)
         if not ranked:
             break
-        chosen, asked = _tentative(ranked)
-        if len(chosen) > 1:
-            chosen = _certain(ranked, chosen, *_neighbours(work, pending, chosen, asked))
-        chosen = chosen[:wanted - len(merges)]
-        pairs = [(p.l, p.r) for p in chosen]
-        pending.append(_Batch(pairs, FIRST_MERGE + len(merges)))
-        merges += pairs
-        if len(pending) == REWRITE_EVERY:
-            work, pending = written(_merged(work, pending), "words"), []
+        floor = _place(ranked[most]) if len(ranked) > most else None
+        index = _Index(work, ranked[:most], floor, min_frequency, FIRST_MERGE + len(merges))
+        _merge_all(index, wanted - len(merges))
+        merges += [(m.left_id, m.right_id) for m in index.merges]
+        if len(merges) < wanted:
+            work = written(_merged(work, _ranked(index.merges)), "words")
     rows = [(rank, left, right, FIRST_MERGE + rank) for rank, (left, right) in enumerate(merges)]
     return spark.createDataFrame(
         rows, "rank int, left_id int, right_id int, new_id int").coalesce(1)
 
 
+def _merge_all(index: _Index, wanted: int) -> None:
+    """Rounds over one index, until no pair is certain or enough are merged.
+
+    What a round learns about neighbours serves the next one, whose top pairs are guessed
+    from the counts so far; numbers of pairs in `top` and `counts` are those of the guess.
+    """
+    guess, top, counts = [], {}, {}
+    while len(index.merges) < wanted:
+        ranked = index.ranked()
+        if not ranked:
+            return
+        chosen, _ = _tentative(ranked)
+        number = {(p.l, p.r): i for i, p in enumerate(guess)}
+        place = {number.get((p.l, p.r)): k for k, p in enumerate(chosen)}
+        sure = _certain(
+            ranked, chosen, {(place[i], s): t for (i, s), t in top.items() if i in place},
+            {(place[i], s, x): n for (i, s, x), n in counts.items() if i in place}, set(number))
+        batch = sure[:wanted - len(index.merges)]
+        more = len(index.merges) + len(batch) < wanted
+        guess, asked = _tentative(index.ranked({(p.l, p.r) for p in batch})) if more else ([], [])
+        top, counts = index.merge(batch, guess, asked)
+
+
 # --- vocabulary -------------------------------------------------------------
 
 def vocabulary(merges: DataFrame) -> DataFrame:
@@ -341,42 +517,11 @@ def vocabulary_report(vocab: DataFrame, requested: int) -> DataFrame:
 
 # --- encoding and decoding --------------------------------------------------
 
-def _ranked(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pair keys in order, with the rank and the new id of each."""
-    keys = np.array([(m.left_id << 32) | m.right_id for m in rows] or [-1], np.int64)
-    order = np.argsort(keys)
-    rank = np.array([m.rank for m in rows] or [0], np.int64)
-    new = np.array([m.new_id for m in rows] or [0], np.int64)
-    return keys[order], rank[order], new[order]
-
-
 def _encode_words(words: pa.Array, merges: tuple, table: np.ndarray) -> list[np.ndarray]:
-    """Ids of many words at once: in each pass every word takes its best merge."""
-    pair_keys, ranks, new_ids = merges
-    flat, word = _symbols(words, table)
-    done_flat, done_word = [], []
-    while len(flat) > 1:
-        keys, same = _pairs(flat, word)
-        at, found = _find(keys, pair_keys)
-        rank = np.where(found & same, ranks[at], _NONE)
-        best = np.full(len(words), _NONE)
-        np.minimum.at(best, word[:-1], rank)
-        going = best[word] < _NONE
-        if not going.all():
-            done_flat.append(flat[~going])
-            done_word.append(word[~going])
-        hit = (rank < _NONE) & (rank == best[word[:-1]])
-        if not hit.any():
-            flat, word = flat[:0], word[:0]
-            break
-        # Finished words leave; a pair that spans words is never a hit.
-        new = np.r_[new_ids[at], 0][going]
-        flat, word, hit = flat[going], word[going], np.r_[hit, False][going][:-1]
-        flat, word = _join(flat, word, hit, new)
-    flat = np.concatenate([*done_flat, flat])
-    word = np.concatenate([*done_word, word])
-    flat = flat[np.argsort(word, kind="stable")].astype(np.int32)
-    return np.split(flat, np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+    """Ids of many words at once."""
+    flat, word = _merge_words(*_symbols(words, table), len(words), merges)
+    sizes = np.bincount(word, minlength=len(words))
+    return np.split(flat.astype(np.int32), np.cumsum(sizes)[:-1])
 
 
 def _encode_lists(words: pa.Array, merges: tuple, table: np.ndarray, memo: dict,

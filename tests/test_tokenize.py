@@ -48,6 +48,52 @@ def test_training_equals_the_library(docs, trained):
     assert [(r.left, r.right) for r in texts] == merges
 
 
+@pytest.mark.parametrize("candidates", [5, 60])
+def test_training_with_few_candidates(docs, trained, candidates):
+    """However often the index is made anew, the merges are the same."""
+    got = tokenize.train(tokenize.pre_token_counts(docs), 330, candidates=candidates).orderBy("rank").collect()
+    assert got == trained.orderBy("rank").limit(330 - tokenize.FIRST_MERGE).collect()
+
+
+def test_a_round_reads_the_words_it_asks_for(spark, docs, monkeypatch):
+    """Counts after each round are those of counting all words, and the scan takes roots."""
+    work = tokenize.pre_token_counts(docs)
+    plans, counted = [], []
+
+    class Watched(tokenize._Index):
+        def merge(self, batch, guess, asked):
+            table = self.table
+            self.table = type("Table", (), {"where": lambda _, c: plans.append(table.where(c)) or plans[-1],
+                                            "__getattr__": lambda _, n: getattr(table, n)})()
+            out = super().merge(batch, guess, asked)
+            self.table = table
+            counted.append((list(self.merges), dict(self.counts)))
+            return out
+
+    monkeypatch.setattr(tokenize, "_Index", Watched)
+    tokenize.train(work, 290)
+    words = [([int(b) for b in r.word.encode()], r.n) for r in work.collect()]
+    ids = tokenize.byte_ids()
+    for merges, counts in counted[::3]:
+        want = {}
+        for symbols, n in words:
+            seq = [int(ids[b]) for b in symbols]
+            for m in merges:
+                out = []
+                for x in seq:
+                    if out and (out[-1], x) == (m.left_id, m.right_id):
+                        out[-1] = m.new_id
+                    else:
+                        out.append(x)
+                seq = out
+            for pair in zip(seq, seq[1:]):
+                want[pair] = want.get(pair, 0) + n
+        assert counts == {p: n for p, n in want.items() if p in counts}
+        assert max(want.values()) == max(counts.values())
+    plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(root," in plan
+
+
 def test_training_stops_without_frequent_pairs(spark):
     words = spark.createDataFrame([("zy", 1), ("ba", 1)], "word string, n long")
     merges = tokenize.train(words, 900)
