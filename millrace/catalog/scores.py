@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.catalog.registry import (RUN_LOG, SCORES, hash_sql, query, rounded, rounded_sql,
                                        strip_sql)
 from millrace.functions.text import clean_answer
-from millrace.operators import score
+from millrace.operators import long_scores, score
 from millrace.plans.views import run_log, score_rows, stage_losses, table
 
 PENALTY, TEMPERATURE, TOP_K, TOP_P = 1.22, 0.68, 40, 0.9
@@ -181,6 +181,77 @@ def draw(spark, sf_dir):
         kept, score.draw_key(1337, F.col("row_id"))).alias("token_id"))
 
 
+# A long score table with repeated tokens: what a supplier's parts were sold for.
+LONG_SCORES = """
+scores as (select l_suppkey as row_id, l_partkey as token_id, max(cast(l_extendedprice as double) / 5000) as score
+           from lineitem group by all)"""
+
+
+def long_rows(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("row_id"), F.col("l_partkey").alias("token_id"),
+        (F.col("l_extendedprice").cast("double") / 5000).alias("score"))
+
+
+@query("long_cross_entropy", f"""
+with {LONG_SCORES}, {softmax_sql('scores')},
+targets as (select l_suppkey as row_id, min(l_partkey) as target from lineitem group by 1)
+select t.row_id, {rounded_sql('-ln(prob)')} as loss
+from targets t join probs p on p.row_id = t.row_id and p.token_id = t.target""")
+def long_cross_entropy(spark, sf_dir):
+    long = long_rows(spark, sf_dir)
+    targets = long.groupBy("row_id").agg(F.min("token_id").alias("target"))
+    return long_scores.token_losses(long, targets).select("row_id", rounded("loss").alias("loss"))
+
+
+@query("long_softmax", f"""
+with {LONG_SCORES}, {softmax_sql('scores', TEMPERATURE)}
+select row_id, token_id, {rounded_sql('prob')} as prob from probs""")
+def long_softmax(spark, sf_dir):
+    probs = long_scores.softmax(long_scores.tempered(long_rows(spark, sf_dir), TEMPERATURE))
+    return probs.select("row_id", "token_id", rounded("prob").alias("prob"))
+
+
+@query("long_top_k", f"""
+with {LONG_SCORES},
+r as (select *, rank() over (partition by row_id order by score desc) as rk from scores)
+select row_id, token_id, {rounded_sql('score')} as score from r where rk <= {TOP_K}""")
+def long_top_k(spark, sf_dir):
+    kept = long_scores.keep_top_k(long_rows(spark, sf_dir), TOP_K)
+    return kept.select("row_id", "token_id", rounded("score").alias("score"))
+
+
+LONG_TOP_P = TOP_P_SQL.replace(SCORES, LONG_SCORES)
+
+
+@query("long_top_p", f"""
+with {LONG_TOP_P} select row_id, token_id, {rounded_sql('prob')} as prob from kept""")
+def long_top_p(spark, sf_dir):
+    kept = long_scores.keep_top_p(long_rows(spark, sf_dir), TOP_P)
+    return kept.select("row_id", "token_id", rounded("prob").alias("prob"))
+
+
+@query("long_greedy_pick", f"""
+with {LONG_SCORES},
+r as (select *, row_number() over (partition by row_id order by score desc, token_id) as rn from scores)
+select row_id, token_id from r where rn = 1""")
+def long_greedy(spark, sf_dir):
+    return long_scores.greedy_picks(long_rows(spark, sf_dir))
+
+
+@query("long_weighted_draw", f"""
+with {LONG_TOP_P},
+masses as (select row_id, sum(prob) as mass from kept group by row_id),
+marks as (select k.row_id, k.token_id, k.rn,
+                 k.upto > {hash_sql("'1337'", 'k.row_id')} / cast(1152921504606846976 as double) * m.mass
+                   as hit
+          from kept k join masses m using (row_id))
+select row_id, arg_min(token_id, rn) as token_id from marks where hit group by row_id""")
+def long_draw(spark, sf_dir):
+    kept = long_scores.keep_top_p(long_rows(spark, sf_dir), TOP_P)
+    return long_scores.weighted_draws(kept, score.draw_key(1337, F.col("row_id")))
+
+
 @query("clean_answers", f"""
 select conv_id, turn, {strip_sql(f"string_split({strip_sql('text')}, '<|')[1]")} as answer
 from conversations""")

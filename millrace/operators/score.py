@@ -2,7 +2,8 @@
 
 A score row holds all scores of one position in an array (`scores[token_id]`),
 so selection needs no shuffle: each row is worked on where it is read.  Long
-tables `(row_id, token_id, score)` are turned into score rows by `gather_scores`.
+tables `(row_id, token_id, score)` have operators of their own in `long_scores`;
+`gather_scores` turns them into score rows.
 """
 
 from __future__ import annotations
@@ -25,12 +26,24 @@ BANNED = float("-inf")
 
 def gather_scores(long: DataFrame, vocab_size: int) -> DataFrame:
     """Long scores to score rows of the vocabulary's size; tokens that a row lacks are
-    banned there.  A group is bounded by the vocabulary."""
-    known = F.map_from_entries(F.collect_list(F.struct("token_id", "score")))
-    rows = long.groupBy("row_id").agg(known.alias("known"))
-    ids = F.sequence(F.lit(0), F.lit(vocab_size - 1))
-    return rows.select("row_id", F.transform(
-        ids, lambda i: F.coalesce(F.element_at("known", i), F.lit(BANNED))).alias("scores"))
+    banned there, of a repeated token the largest score counts, and tokens outside the
+    vocabulary are left out.  One pass over the sorted entries fills the gaps; a group is
+    bounded by the vocabulary.
+    """
+    known = (long.where(F.col("token_id").between(0, vocab_size - 1) & F.col("score").isNotNull())
+             .groupBy("row_id", "token_id").agg(F.max("score").alias("score"))
+             .groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("token_id", "score"))).alias("known")))
+
+    def filled(known: Column) -> Column:
+        gap = lambda n: F.array_repeat(F.lit(BANNED), n.cast("int"))
+        before = F.concat(F.array(F.lit(-1)), F.transform(known, lambda e: e.token_id.cast("int")))
+        pieces = F.zip_with(before, known, lambda last, e: F.when(e.isNotNull(), F.concat(
+            gap(e.token_id - last - 1), F.array(e.score))).otherwise(gap(F.lit(vocab_size - 1) - last)))
+        return F.flatten(pieces)
+
+    rows = long.select("row_id").distinct().join(known, "row_id", "left")
+    return rows.select("row_id", F.when(F.col("known").isNull(), F.array_repeat(F.lit(BANNED), vocab_size))
+                       .otherwise(bind(F.col("known"), filled)).alias("scores"))
 
 
 def spread_scores(rows: DataFrame, value: str = "scores") -> DataFrame:
