@@ -158,6 +158,34 @@ def pack_hashed_ids(spark, sf_dir):
     return pack.pack(docs)
 
 
+CLUSTERED = ("case when doc_seq % 2 = 0 then 1000000000000000 + doc_seq % 16 "
+             "when doc_seq % 3 = 0 then 7 else doc_seq * 1000003 - 500000000 end")
+
+
+@query("pack_clustered_ids", f"""
+with {WORDS}, c as (select {CLUSTERED} as id, len(ids) as n from words),
+g as (select id, count(*) as docs, sum(n) as n_tokens from c group by id)
+select id as doc_seq, docs, cast(n_tokens as bigint) as n_tokens,
+       cast(coalesce(sum(n_tokens) over (order by id rows between unbounded preceding and 1 preceding), 0)
+            as bigint) as start_pos
+from g""")
+def pack_clustered_ids(spark, sf_dir):
+    """Documents of which half lie in one cluster of ids, with ids that many share."""
+    docs = word_documents(spark, sf_dir).select(F.expr(CLUSTERED).alias("doc_seq"), "n_tokens")
+    return pack.pack(docs).groupBy("doc_seq").agg(
+        F.count("*").alias("docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start_pos").alias("start_pos"))
+
+
+@query("first_of_repeated_ids", f"""
+with {WORDS}, c as (select {CLUSTERED} as id from words),
+r as (select id, row_number() over (order by id) as place from c)
+select id as doc_seq, count(*) as docs from r where place <= 500 group by id""")
+def first_of_repeated_ids(spark, sf_dir):
+    """A limit that falls among rows of one id keeps exactly as many rows."""
+    docs = word_documents(spark, sf_dir).select(F.expr(CLUSTERED).alias("doc_seq"), "n_tokens")
+    return clean.limit_raw(docs, 500).groupBy("doc_seq").agg(F.count("*").alias("docs"))
+
+
 @query("split_stream", f"""
 with {SPLIT}
 select split, doc_seq, cast(min(pos) as bigint) as start_pos, cast(count(*) as int) as n_tokens,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import HASH_BITS, seeded_hash
 from millrace.functions.text import MIN_CHARS, normalise
-from millrace.operators.ordered import CHUNK, before, chunk_of, even_chunks, first_rows
+from millrace.operators.ordered import CHUNK, before, chunk_of, first_rows, ranked
 
 # Hash orders are cut into 2**16 equal ranges.
 HASH_RANGE = 2 ** (HASH_BITS - 16)
@@ -22,17 +22,16 @@ def clean(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def limit_raw(docs: DataFrame, max_articles: int, chunk: Column | None = None) -> DataFrame:
     """The first `max_articles` rows before any cleaning; 0 keeps all.
 
-    Pass `chunk_of("doc_seq")` when ids are dense: it saves a look at all ids.
+    Pass `chunk_of("doc_seq")` when ids are dense and unique: it saves a sort of all ids.
     """
     if not max_articles:
         return docs
-    return first_rows(docs, even_chunks(docs, "doc_seq") if chunk is None else chunk, ["doc_seq"],
-                      max_articles)
+    return first_rows(docs, chunk, ["doc_seq"], max_articles)
 
 
 def limit_kept(rows: DataFrame, order: str, limit: int, chunk: Column | None = None) -> DataFrame:
     """The first `limit` rows of an already filtered table; 0 keeps none."""
-    return first_rows(rows, even_chunks(rows, order) if chunk is None else chunk, [order], limit)
+    return first_rows(rows, chunk, [order], limit)
 
 
 def sample_documents(docs: DataFrame, size: int = 200_000, seed: int = 1337) -> DataFrame:
@@ -71,8 +70,8 @@ def corpus_progress(docs: DataFrame, batch: int = CHUNK, every: int = 25,
     """Running documents and tokens after each batch of `batch` documents in order;
     `shown` marks every `every`-th batch."""
     narrow = docs.select("doc_seq", "n_tokens")
-    chunk = even_chunks(narrow, "doc_seq") if chunk is None else chunk
-    placed = before(narrow, [], chunk, ["doc_seq"], {"nth": F.lit(1)})
+    placed = (ranked(narrow, ["doc_seq"], "nth") if chunk is None else
+              before(narrow, [], chunk, ["doc_seq"], {"nth": F.lit(1)}))
     batches = (placed.groupBy(F.expr(f"nth div {batch}").alias("batch"))
                .agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")))
     done = before(batches, [], chunk_of("batch"), ["batch"],

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import seeded_hash
 from millrace.functions.text import prompt, strip
-from millrace.operators.clean import HASH_RANGE
-from millrace.operators.ordered import before, even_chunks
+from millrace.operators.ordered import before, ranked
 
 # Fixed values.
 END_TEXT = "<|endoftext|>"
@@ -30,20 +29,23 @@ def qa_examples(qa: DataFrame, max_answer: int = MAX_ANSWER) -> DataFrame:
 def shuffled(rows: DataFrame, key: str, seed: int = 42, epochs: Column | None = None) -> DataFrame:
     """Seeded permutation: adds `place` (0, 1, ...) per `epoch`.
 
-    `epochs` (a scalar) repeats the table with a fresh order in each epoch.
+    `epochs` (a scalar) repeats the table with a fresh order in each epoch.  Rows of one
+    key stay together, however many they are.
     """
     rounds = F.sequence(F.lit(0), (epochs if epochs is not None else F.lit(1)).cast("int") - 1)
     repeated = (rows.withColumn("epoch", F.explode(rounds))
                 .withColumn("_hash", seeded_hash(seed, F.col("epoch"), F.col(key))))
-    placed = before(repeated, ["epoch"], F.expr(f"_hash div {HASH_RANGE}"), ["_hash", key],
-                    {"place": F.lit(1)})
-    return placed.drop("_hash")
+    placed = ranked(repeated, ["epoch", "_hash", key])
+    starts = placed.groupBy("epoch").agg(F.min("_rank").alias("_start"))
+    return (placed.join(starts, "epoch").withColumn("place", F.col("_rank") - F.col("_start"))
+            .select(*rows.columns, "epoch", "place"))
 
 
 def in_order(rows: DataFrame, key: str, chunk: Column | None = None) -> DataFrame:
-    """The unshuffled form: `place` follows the key; pass `chunk_of(key)` for dense keys."""
-    return before(rows.withColumn("epoch", F.lit(0)), [],
-                  even_chunks(rows, key) if chunk is None else chunk, [key], {"place": F.lit(1)})
+    """The unshuffled form: `place` follows the key; pass `chunk_of(key)` for dense and
+    unique keys."""
+    once = rows.withColumn("epoch", F.lit(0))
+    return ranked(once, [key], "place") if chunk is None else before(once, [], chunk, [key], {"place": F.lit(1)})
 
 
 def truncated(rows: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:

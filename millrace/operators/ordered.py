@@ -7,50 +7,52 @@ meet a window only inside their own chunk.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import shared_folder
+
 CHUNK = 4096
-SEGMENTS = 128
 
 
 def chunk_of(column: str, size: int = CHUNK) -> Column:
     return F.expr(f"`{column}` div {size}")
 
 
-def even_chunks(df: DataFrame, column: str, rows: int = CHUNK) -> Column:
-    """Chunks of about `rows` rows for ids of any kind: sparse, hashed, or with outliers.
+def ranked(df: DataFrame, order: list[str], rank: str = "_rank") -> DataFrame:
+    """`df` with the place (0, 1, ...) of each row along ascending `order`, nulls first.
 
-    The ids are cut at `SEGMENTS` quantiles and, towards both ends, at ever smaller
-    shares, so that a few outliers stand apart; each stretch is cut evenly.  However
-    the ids lie, a chunk holds at most about one stretch.  Takes one small job over
-    the id column; give it the plain source table, so that no other column is read.
+    For ids of any kind: sparse, hashed, in clusters, repeated without end.  Rows are cut
+    into ranges of the order, a heavy value again by where its rows came from, and written
+    sorted.  A row's place is the number of rows in the files before its own, and its
+    number in the file; only one total per file meets an order without keys, and there
+    are as many files as shuffle partitions.  `_rank div CHUNK` makes chunks of exactly
+    `CHUNK` rows.
+
+    Rows with equal `order` keep the order of the input; give it a scan or a written table,
+    so that rows come in the same order whenever a task is run again.
     """
-    tails = [2.0 ** -k / SEGMENTS for k in range(1, 13)]
-    shares = sorted({*[k / SEGMENTS for k in range(SEGMENTS + 1)], *tails, *[1 - t for t in tails]})
-    n, found = df.agg(F.count(column), F.percentile_approx(column, shares, 50_000)).first()
-    if not n:
-        return chunk_of(column, rows)
-    # A table of few chunks needs few stretches.
-    step = max(1, SEGMENTS * rows // max(n, rows))
-    bounds = sorted({b for share, b in zip(shares, found)
-                     if share * SEGMENTS % 1 or share * SEGMENTS % step == 0 or share == 1})
-    pieces = max(1, -(-n // (SEGMENTS * rows)))
-    value = F.col(column)
-
-    def stretch(low: int, high: int) -> Column:
-        """Chunk of a value between two bounds, by halving."""
-        if high - low <= 1:
-            first, last = bounds[low], bounds[min(high, len(bounds) - 1)]
-            # Doubles keep the order and do not overflow.
-            part = (value.cast("double") - float(first)) / max(1.0, (float(last) - float(first)))
-            return F.lit(low * pieces).cast("bigint") + F.greatest(F.lit(0), F.least(
-                F.lit(pieces - 1), F.floor(part * pieces))).cast("bigint")
-        middle = (low + high) // 2
-        return F.when(value < F.lit(bounds[middle]), stretch(low, middle)) \
-                .otherwise(stretch(middle, high))
-
-    return stretch(0, len(bounds))
+    along = [*order, "_tie"]
+    rows = _sorted_files(df, along)
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"), F.min(F.struct(*along)).alias("_first"))
+    earlier = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return (rows.join(F.broadcast(starts), "_file")
+            .select(*df.columns, (F.col("_start") + F.col("_at")).alias(rank)))
+
+
+def _sorted_files(df: DataFrame, along: list[str]) -> DataFrame:
+    """`df` in files sorted along `along`, with each row's `_tie`, `_file` and place `_at` in it."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    path = shared_folder(spark, "ranked")
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    tied.repartitionByRange(parts, *along).sortWithinPartitions(*along).write.parquet(path)
+    stored = spark.read.schema(tied.schema).parquet(path)
+    place = stored.metadataColumn("_metadata")
+    return stored.select("*", F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_at"))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -133,10 +135,16 @@ def nth_in_order(df: DataFrame, chunk: Column, order: list[str], n: int) -> Data
             .where(F.col("_rank") == n).select(*order))
 
 
-def first_rows(df: DataFrame, chunk: Column, order: list[str], n: int) -> DataFrame:
-    """Exactly the first `n` rows along `order`; wide rows are filtered, not shuffled."""
+def first_rows(df: DataFrame, chunk: Column | None, order: list[str], n: int) -> DataFrame:
+    """Exactly the first `n` rows along `order`; wide rows are filtered, not shuffled.
+
+    `chunk` cuts the order into ranges of few rows, when such a cut is known and no row
+    repeats another's `order`; without one the rows are ranked first.
+    """
     if n <= 0:
         return df.where(F.lit(False))
+    if chunk is None:
+        return _first_ranked(df, order, n)
     cut = nth_in_order(df, chunk, order, n)
     if len(order) == 1:
         limit = cut.scalar()
@@ -145,3 +153,20 @@ def first_rows(df: DataFrame, chunk: Column, order: list[str], n: int) -> DataFr
         limit = cut.select(F.struct(*order)).scalar()
         key = F.struct(*order)
     return df.where(limit.isNull() | (key <= limit))
+
+
+def _first_ranked(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    keys = ranked(df.select(*order), order)
+    last = keys.where(F.col("_rank") == n - 1).first()
+    if last is None:
+        return df
+    at_last = reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(last[c])) for c in order])
+    first, ties = keys.where(at_last).agg(F.min("_rank"), F.count("*")).first()
+    up_to = F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    if len(order) == 1:  # a plain comparison reaches the scan
+        up_to = F.col(order[0]).isNull() | (F.lit(last[0] is not None) & (F.col(order[0]) <= F.lit(last[0])))
+    if first + ties == n:
+        return df.where(up_to)
+    # The limit falls among rows of one value: these are ranked themselves.
+    some = ranked(df.where(at_last), order).where(F.col("_rank") < n - first).drop("_rank")
+    return df.where(up_to & ~at_last).unionByName(some)

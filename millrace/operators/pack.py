@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import seeded_hash
-from millrace.operators.ordered import before, chunk_of, even_chunks
+from millrace.operators.ordered import before, chunk_of, ranked
 
 
 def append_eot(docs: DataFrame, eot: int) -> DataFrame:
@@ -17,15 +17,18 @@ def append_eot(docs: DataFrame, eot: int) -> DataFrame:
 def pack(docs: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Place documents one after the other: adds `n_tokens` and `start_pos`.
 
-    Pass `chunk_of("doc_seq")` when ids are dense: it saves a look at all ids.
+    Pass `chunk_of("doc_seq")` when ids are dense and unique: it saves a sort of all rows.
 
     `docs` is read twice, once only for lengths: give it a written table when
     making `token_ids` is dear, or an `n_tokens` column that is cheaper to make.
     """
     sized = docs if "n_tokens" in docs.columns else docs.withColumn("n_tokens",
                                                                     F.size("token_ids"))
-    return before(sized, [], even_chunks(docs, "doc_seq") if chunk is None else chunk, ["doc_seq"],
-                  {"start_pos": F.col("n_tokens").cast("bigint")})
+    sums = {"start_pos": F.col("n_tokens").cast("bigint")}
+    if chunk is not None:
+        return before(sized, [], chunk, ["doc_seq"], sums)
+    placed = ranked(sized, ["doc_seq"])
+    return before(placed, [], chunk_of("_rank"), ["_rank"], sums).drop("_rank")
 
 
 def stream_length(docs: DataFrame) -> Column:

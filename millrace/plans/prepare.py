@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import tokenize
 from millrace.operators.clean import clean, limit_raw, sample_documents
-from millrace.operators.ordered import even_chunks, spread
+from millrace.operators.ordered import spread
 from millrace.operators.pack import append_eot, pack, split_stream
 from millrace.session import path_exists, written
 from millrace.sources.cache import read_vocab, write_tokens, write_vocab
@@ -50,7 +50,7 @@ def prepare_corpus(spark: SparkSession, raw: DataFrame, root: str, signature: st
             encoded = append_eot(encoded, tokenize.END_ID)
         # Lengths get a column of their own: counting reads no tokens.
         stored = written(encoded.withColumn("n_tokens", F.size("token_ids")), "encoded")
-        packed = pack(stored, even_chunks(stored, "doc_seq"))
+        packed = pack(stored)
         return split_stream(packed, stored.select("n_tokens"), fraction, length)
 
     return write_tokens(spark, make, f"{root.rstrip('/')}/tokens", signature)

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import pack
-from millrace.operators.ordered import before, chunk_of, even_chunks, first_rows
+from millrace.operators.ordered import _sorted_files, before, chunk_of, first_rows, ranked
 
 
 def hot_rows(spark, parts):
@@ -48,25 +48,43 @@ def test_first_rows(spark):
         assert sorted(kept) == [3 * i for i in range(min(n, 3000))]
 
 
-def test_outlier_ids_share_no_chunk_with_the_rest(spark):
-    ids = [*range(20_000), 2 ** 61, 2 ** 61 + 1, -2 ** 62]
-    df = spark.createDataFrame([(i, 1) for i in ids], "doc_seq long, n_tokens int")
-    sizes = df.groupBy(even_chunks(df, "doc_seq", 100)).count().toPandas()["count"]
-    assert sizes.sum() == len(ids) and sizes.max() <= 400
-    got = pack.pack(df).orderBy("doc_seq").select("start_pos").toPandas()["start_pos"]
-    assert list(got) == list(range(len(ids)))
-
-
-def test_sparse_ids(spark):
+def odd_ids():
+    """Half of the ids in one cluster, a third the same, some far away, some missing."""
     rng = random.Random(8)
-    ids = sorted({rng.randrange(-2 ** 62, 2 ** 62) for _ in range(900)})
-    df = spark.createDataFrame([(i, 1) for i in ids], "doc_seq long, n_tokens int").repartition(5)
-    chunk = even_chunks(df, "doc_seq", 50)
-    assert 5 < df.select(chunk).distinct().count() <= 60
-    got = pack.pack(df, chunk).orderBy("doc_seq").collect()
-    assert [r.start_pos for r in got] == list(range(900))
-    assert sorted(r.doc_seq for r in first_rows(df, chunk, ["doc_seq"], 321).collect()) == ids[:321]
-    assert pack.pack(df.limit(0), even_chunks(df.limit(0), "doc_seq")).count() == 0
+    ids = [5_000_000 + i % 700 for i in range(6000)] + [-3] * 4000 + [2 ** 61, -2 ** 62, None, None]
+    ids += [rng.randrange(-2 ** 62, 2 ** 62) for _ in range(2000)]
+    rng.shuffle(ids)
+    return ids
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_ranks_of_any_ids(spark, parts):
+    ids = odd_ids()
+    df = spark.createDataFrame([(i, k % 5) for k, i in enumerate(ids)], "doc_seq long, n_tokens int").repartition(parts)
+    got = ranked(df, ["doc_seq"]).orderBy("_rank").collect()
+    assert [r._rank for r in got] == list(range(len(ids)))
+    assert [r.doc_seq for r in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    sizes = ranked(df, ["doc_seq"]).groupBy(chunk_of("_rank", 500)).count().toPandas()["count"]
+    assert sizes.max() <= 500 and len(sizes) == -(-len(ids) // 500)
+    placed = pack.pack(df).orderBy("start_pos", "n_tokens").collect()
+    ends = [r.start_pos + r.n_tokens for r in placed]
+    assert [r.start_pos for r in placed] == [0, *ends[:-1]] and ends[-1] == sum(r.n_tokens for r in placed)
+    assert ranked(df.limit(0), ["doc_seq"]).count() == pack.pack(df.limit(0)).count() == 0
+
+
+def test_no_range_holds_a_heavy_id(spark):
+    df = spark.createDataFrame([(-3 if i % 4 else i, 1) for i in range(40_000)], "doc_seq long, n_tokens int")
+    files = _sorted_files(df.repartition(6), ["doc_seq", "_tie"]).groupBy("_file").count()
+    # Ranges come from a sample of the order; three quarters of the rows share one id.
+    assert files.toPandas()["count"].max() < 20_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 2500, 5900, 9000, 12_003, 12_004, 20_000])
+def test_first_rows_of_any_ids(spark, n):
+    ids = sorted(odd_ids(), key=lambda i: (i is not None, i or 0))
+    df = spark.createDataFrame([(i, "x") for i in odd_ids()], "doc_seq long, text string").repartition(4)
+    kept = [r.doc_seq for r in first_rows(df, None, ["doc_seq"], n).collect()]
+    assert sorted(kept, key=lambda i: (i is not None, i or 0)) == ids[:n]
 
 
 def documents(spark, sizes, parts=3):
