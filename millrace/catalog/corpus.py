@@ -11,7 +11,7 @@ from millrace.functions.text import normalise
 from millrace.operators import clean, pack
 from millrace.operators.ordered import chunk_of
 from millrace.plans.views import clean_documents, table, word_documents
-from millrace.sources.corpus import read_corpus, source_signature, table_identity
+from millrace.sources.corpus import content_identity, read_corpus, source_signature
 
 FRACTION, LENGTH = 0.01, 256
 
@@ -35,14 +35,23 @@ def read_missing(spark, sf_dir):
     return clean.clean(read_corpus(docs).union(read_corpus(docs, "body")))
 
 
+def content_sql(*columns: str) -> str:
+    """The identity of a table's rows."""
+    row = " || '|' || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in columns)
+    half = lambda start: f"sum(cast('0x' || substr(md5({row}), {start}, 15) as bigint))"
+    return f"'content:' || count(*) || ':' || coalesce({half(1)}, 0) || ':' || coalesce({half(16)}, 0)"
+
+
 @query("source_signature", f"""
-with facts as (select count(*) as n from documents)
-select substr(sha256('hf:documents:' || '' || ':train:' || '' ||
+select substr(sha256({content_sql('doc_id', 'text')} ||
   '|col=text|vocab=32768|eot=True|max_articles=0|val_fraction=0.01|clean=v2'), 1, 16)
-  as signature, n as rows from facts""")
+  as signature, count(*) as rows from documents""")
 def signature(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").agg(F.count("*").alias("rows"))
-    return docs.select(source_signature(table_identity("documents")).alias("signature"), "rows")
+    """Signed by content: any row that changes, comes or goes changes it."""
+    docs = table(spark, sf_dir, "documents")
+    known = content_identity(docs, ["doc_id", "text"])
+    return known.select(source_signature(F.col("identity")).alias("signature"),
+                        docs.agg(F.count("*")).scalar().alias("rows"))
 
 
 @query("normalise_text", f"""

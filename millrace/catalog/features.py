@@ -43,8 +43,66 @@ def standardised(spark, sf_dir):
         "x", rounded("x"))
 
 
-@query("additive_spline_regression")
+INPUTS, TARGET, KNOTS = ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 3
+RIDGE = 1e-3
+
+
+def design_sql() -> str:
+    """The design: per input its base and knots, then the scaled target and a one."""
+    scale = ", ".join(f"(cast({c} as double) - avg(cast({c} as double)) over ()) / "
+                      f"stddev_pop(cast({c} as double)) over () as {c}" for c in [*INPUTS, TARGET])
+    parts = [p for c in INPUTS for p in (
+        f"{c} / (1 + exp(-{c}))",
+        *(f"pow(greatest(tanh({c}) - cast({g} as double), cast(0 as double)), 2)" for g in features.knots(KNOTS)))]
+    row = f"[{', '.join([*parts, TARGET, 'cast(1 as double)'])}]"
+    return f"""scaled as (select {scale} from lineitem),
+design as (select {row} as x from scaled),
+width as (select len(any_value(x)) as w from design),
+products as (
+  select i, j, sum(x[i] * x[j]) as value from design, width,
+    lateral (select unnest(range(1, w + 1)) as i), lateral (select unnest(range(1, w + 1)) as j)
+  group by i, j)"""
+
+
+NAMES = [n for c in INPUTS for n in (f"{c}_base", *(f"{c}_k{i}" for i in range(KNOTS)))]
+
+
+def fitted(spark, sf_dir):
+    return features.spline_design(table(spark, sf_dir, "lineitem"), INPUTS, TARGET, KNOTS)
+
+
+@query("regression_sums", f"""
+with {design_sql()}, n as (select count(*) as n from lineitem)
+select cast(i - 1 as int) as i, cast(j - 1 as int) as j, {rounded_sql('value / n')} as value
+from products, n where i <= j""")
+def regression_sums(spark, sf_dir):
+    """All mean products of the design, from one pass."""
+    wide, names = fitted(spark, sf_dir)
+    n = wide.agg(F.count("*")).scalar()
+    return features.gram(wide, [*names, TARGET]).select(
+        "i", "j", rounded(F.col("value") / n).alias("value"))
+
+
+# The same normal equations, solved by elimination: step k clears column k everywhere else.
+@query("additive_spline_regression", f"""
+with recursive {design_sql()},
+n as (select count(*)::double as n from lineitem),
+augmented as (
+  select list(r order by i) as m from (
+    select i, list(value + case when i = j and i <= {len(NAMES)} then {RIDGE} * n else 0 end order by
+                   case when j = {len(NAMES) + 1} then 1000 else j end) as r
+    from products, n where i <> {len(NAMES) + 1} group by i)),
+solved as (
+  select 0 as k, m from augmented
+  union all
+  select k + 1, list_transform(m, lambda r, i: case when i = k + 1
+      then list_transform(r, lambda v: v / m[k + 1][k + 1])
+      else list_transform(r, lambda v, c: v - m[i][k + 1] * m[k + 1][c] / m[k + 1][k + 1]) end)
+  from solved where k < {len(NAMES) + 1})
+select unnest({[*NAMES, '(intercept)']}) as feature,
+       unnest(list_transform(m, lambda r: round(r[-1], 4) + cast(0 as double))) as weight
+from solved where k = {len(NAMES) + 1}""")
 def regression(spark, sf_dir):
-    return features.additive_spline_regression(
-        table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"],
-        "l_extendedprice")
+    fit = features.additive_spline_regression(
+        table(spark, sf_dir, "lineitem"), INPUTS, TARGET, KNOTS, RIDGE)
+    return fit.where("feature <> '(r2)'").select("feature", (F.round("weight", 4) + F.lit(0.0)).alias("weight"))

@@ -5,50 +5,63 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog.corpus import FRACTION, LENGTH, SPLIT, split_words
-from millrace.catalog.registry import DOCS, QA, STREAM, joined, joined_sql, normalise_sql, query
+from millrace.catalog.registry import DOCS, QA, STREAM, hash_sql, joined, joined_sql, normalise_sql, query
 from millrace.functions.text import SPACE
 from millrace.operators import tokenize
+from millrace.operators.ordered import ranked
 from millrace.operators.pack import split_sizes
-from millrace.plans.prepare import build_or_load_tokenizer, prepare_corpus, signature_text
+from millrace.plans.prepare import build_or_load_tokenizer, prepare_corpus, signed, training_batches
 from millrace.plans.views import clean_documents, qa, table
 from millrace.session import shared_folder
 from millrace.sources.cache import read_tokens, write_tokens
-from millrace.sources.corpus import read_corpus, read_paragraphs, source_signature, table_identity
+from millrace.sources.corpus import content_identity, read_corpus, read_paragraphs
 from millrace.sources.qa import read_qa
 
 VOCAB = 400
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple[str, str], tuple[str, str]] = {}
 
 
-def store(spark, sf_dir) -> str:
-    """One folder per session and source, so that the tokenizer is trained once."""
+def store(spark, sf_dir) -> tuple[str, str]:
+    """One folder and the identity of the documents, per session and source: a tokenizer is
+    trained once, whoever asks for it first."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        _STORES[key] = shared_folder(spark, "store")
+        raw = read_corpus(table(spark, sf_dir, "documents"))
+        identity = content_identity(raw, ["doc_seq", "text"]).first().identity
+        _STORES[key] = shared_folder(spark, "store"), identity
     return _STORES[key]
 
 
 def tokenizer(spark, sf_dir):
-    return build_or_load_tokenizer(clean_documents(spark, sf_dir), store(spark, sf_dir), VOCAB, "all")
+    return build_or_load_tokenizer(clean_documents(spark, sf_dir), store(spark, sf_dir)[0], VOCAB,
+                                   store(spark, sf_dir)[1])
 
 
-def signature(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return signature_text(docs, source_signature(table_identity(sf_dir), vocab_size=VOCAB))
+def prepared_documents(spark, sf_dir):
+    root, identity = store(spark, sf_dir)
+    raw = read_corpus(table(spark, sf_dir, "documents"))
+    return prepare_corpus(spark, raw, root, VOCAB, FRACTION, LENGTH, identity=identity)
 
 
 @query("read_paragraphs", f"""
 with {DOCS.replace('docs as', 'whole as')},
-pieces as (select unnest(regexp_split_to_array(text, '\\n{SPACE}*\\n')) as piece from whole),
-t as (select {normalise_sql('piece')} as text from pieces)
-select text from t where length(text) >= 120""")
+pieces as (
+  select doc_seq, unnest(p) as piece, generate_subscripts(p, 1) as i from (
+    select doc_seq, regexp_split_to_array(text, '(\\r\\n|\\n|\\r)({SPACE}*(\\r\\n|\\n|\\r))+') as p from whole)),
+t as (select doc_seq, i, {normalise_sql("regexp_replace(piece, '\\r\\n?', chr(10), 'g')")} as text from pieces)
+select row_number() over (order by doc_seq, i) as place, text from t where length(text) >= 120""")
 def paragraphs(spark, sf_dir):
-    """Documents written as one text corpus, then read back by paragraph."""
+    """Documents written as one text corpus with line ends of all kinds, then read back by
+    paragraph, in order."""
     folder = shared_folder(spark, "paragraphs")
-    docs = clean_documents(spark, sf_dir)
-    docs.select("text").write.option("lineSep", "\n\n").text(folder)
-    return read_paragraphs(spark, folder).select("text")
+    docs = clean_documents(spark, sf_dir).orderBy("doc_seq")
+    ends = F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r")), (F.col("doc_seq") % 3 + 1).cast("int"))
+    blank = F.concat(ends, F.lit(" \t"), ends)
+    (docs.select(F.concat(F.replace("text", F.lit("\n"), ends), blank)).write
+     .option("lineSep", "\n").text(folder))
+    rows = ranked(read_paragraphs(spark, folder), ["doc_seq"], "place")
+    return rows.select((F.col("place") + 1).alias("place"), "text")
 
 
 @query("read_qa", f"""
@@ -172,21 +185,55 @@ select split, count(distinct doc_seq) as docs, count(*) as n_tokens from pieces
 def stored_tokens(spark, sf_dir):
     """Word-token splits written under their signature, then read back; the
     second request finds them stored."""
-    root, signed = shared_folder(spark, "tokens"), signature(spark, sf_dir)
-    write_tokens(spark, lambda: split_words(spark, sf_dir), root, signed)
-    return split_sizes(read_tokens(spark, root, signed))
+    root, known = shared_folder(spark, "tokens"), signed(store(spark, sf_dir)[1], words=True)
+    write_tokens(spark, lambda: split_words(spark, sf_dir), root, known)
+    return split_sizes(read_tokens(spark, root, known))
 
 
-@query("prepared_corpus", f"""
-with {SPLIT.replace(STREAM, TRAINING + """,
+TRAINED_SPLIT = SPLIT.replace(STREAM, TRAINING + """,
 stream as (
   select doc_seq, tok, row_number() over (order by doc_seq, i) - 1 as pos from (
     select doc_seq, unnest(a) as tok, generate_subscripts(a, 1) as i
-    from (select doc_seq, list_append(ids, 0) as a from encoded)))""")}
+    from (select doc_seq, list_append(ids, 0) as a from encoded)))""")
+
+
+@query("prepared_corpus", f"""
+with {TRAINED_SPLIT}
 select split, count(distinct doc_seq) as docs, count(*) as n_tokens from pieces group by split""")
 def prepared(spark, sf_dir):
     """The whole preparation with the trained tokenizer."""
-    raw = read_corpus(table(spark, sf_dir, "documents"))
-    stored = prepare_corpus(spark, raw, store(spark, sf_dir), signature(spark, sf_dir), VOCAB,
-                            FRACTION, LENGTH)
-    return split_sizes(stored)
+    return split_sizes(prepared_documents(spark, sf_dir).splits)
+
+
+@query("prepared_checks", f"""
+with {TRAINED_SPLIT},
+facts as (select count(distinct doc_seq) as docs, count(*) filter (split = 'train') as train from pieces),
+words as (select count(*) as actual from tokens)
+select 'documents' as check, docs > 0 as ok, docs as detail from facts
+union all select 'train_tokens', train > {LENGTH + 1}, train from facts
+union all select 'windows', train - {LENGTH} > 0, train - {LENGTH} from facts
+union all select 'end_marker', true, 1
+union all select 'vocabulary', actual = {VOCAB}, actual from words""")
+def prepared_checks(spark, sf_dir):
+    """What must hold before training on the prepared corpus, and the size of its vocabulary."""
+    made = prepared_documents(spark, sf_dir)
+    size = made.report.select(F.lit("vocabulary").alias("check"), F.col("complete").alias("ok"),
+                              F.col("actual").alias("detail"))
+    return made.checks.unionByName(size)
+
+
+@query("trained_batches", f"""
+with {TRAINED_SPLIT},
+train as (select pos, tok from pieces where split = 'train'),
+draws as (
+  select step, cast(row as int) as row,
+         {hash_sql("'1337'", 'step', 'row')} % ((select count(*) from train) - {LENGTH}) as start
+  from (select unnest(range(5, 25)) as step), (select unnest(range(0, 16)) as row))
+select step, row, start,
+  cast(list(tok order by pos) filter (pos < start + {LENGTH}) as varchar) as x,
+  cast(list(tok order by pos) filter (pos > start) as varchar) as y
+from draws join train on pos between start and start + {LENGTH} group by 1, 2, 3""")
+def trained_batches(spark, sf_dir):
+    """Batches of steps 5 to 24 from stored blocks of trained tokens."""
+    pairs = training_batches(spark, prepared_documents(spark, sf_dir), "train", 20, 16, LENGTH, first_step=5)
+    return pairs.select("step", "row", "start", joined("x").alias("x"), joined("y").alias("y"))

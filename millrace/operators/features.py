@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +47,85 @@ def spline_features(table: DataFrame, inputs: list[str], k: int) -> DataFrame:
     return table.withColumns(made)
 
 
+def scaled(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns less their mean, over their deviation (a constant one over 1)."""
+    moments = table.agg(*[f(F.col(c).cast("double")).alias(f"{f.__name__}_{c}")
+                          for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    return table.select(*[
+        ((F.col(c).cast("double") - F.lit(moments[f"avg_{c}"])) / F.lit(moments[f"stddev_pop_{c}"] or 1.0))
+        .alias(c) for c in columns])
+
+
+def gram(table: DataFrame, columns: list[str]) -> DataFrame:
+    """`(i, j, value)`, i <= j: sums of products of the columns, and of each with a column of
+    ones under the number `len(columns)`; rows with a null or NaN are left out.
+
+    One pass: a task adds up the small matrix of its rows, and only sums travel.
+    """
+    width = len(columns) + 1
+    i, j = np.triu_indices(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            rows = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in batch.columns),
+                                    np.ones(len(batch))]).astype(np.float64)
+            rows = rows[~np.isnan(rows).any(axis=1)]
+            total += rows.T @ rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])],
+            ["i", "j", "value"])
+
+    sums = table.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(
+        run, "i int, j int, value double")
+    return sums.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
+def least_squares(sums: DataFrame, columns: list[str], target: str,
+                  ridge: float = 0.0) -> tuple[dict[str, float], float]:
+    """Weights of the other columns (and of `(intercept)`) for the target, and the share of
+    its variance that they explain, both from `gram` sums by Cholesky factors.  `ridge`
+    times the number of rows is added to the squares of the columns."""
+    names = [*columns, "(intercept)"]
+    matrix = np.zeros((len(names), len(names)))
+    for row in sums.collect():
+        matrix[row.i, row.j] = matrix[row.j, row.i] = row.value
+    at = names.index(target)
+    others = [k for k in range(len(names)) if k != at]
+    n = matrix[-1, -1]
+    square, cross = matrix[np.ix_(others, others)], matrix[others, at]
+    penalty = np.diag([ridge * n] * (len(others) - 1) + [0.0])
+    factor = np.linalg.cholesky(square + penalty)
+    weights = np.linalg.solve(factor.T, np.linalg.solve(factor, cross))
+    around = matrix[at, at] - matrix[-1, at] ** 2 / n
+    left = matrix[at, at] - 2 * weights @ cross + weights @ square @ weights
+    return dict(zip([names[k] for k in others], weights.tolist())), float(1 - left / around) if around else 1.0
+
+
+def spline_design(table: DataFrame, inputs: list[str], target: str, k: int) -> tuple[DataFrame, list[str]]:
+    """Spline features of the scaled inputs beside the scaled target, and their names."""
+    wide = spline_features(scaled(table, [*inputs, target]), inputs, k)
+    return wide, [c for c in wide.columns if c not in (*inputs, target)]
+
+
 def additive_spline_regression(table: DataFrame, inputs: list[str], target: str, k: int = 6,
                                ridge: float = 1e-6) -> DataFrame:
-    """Fit target ~ W silu(x) + V basis(x) by least squares on z-scored inputs:
-    `(feature, weight)` and the fit quality in the rows `(intercept)` and `(r2)`.
+    """Fit target ~ W silu(x) + V basis(x) by least squares, all columns in deviations from
+    their mean: `(feature, weight)` and the fit quality in the rows `(intercept)` and `(r2)`.
 
-    Three passes over the data: moments, the small normal matrix, and the residuals
-    of the fit quality; only sums travel.
+    Two passes over the data: moments, and the sums of products.
     """
-    moments = table.agg(*[f(F.col(c).cast("double")).alias(f"{f.__name__}_{c}")
-                          for c in inputs for f in (F.avg, F.stddev_pop)]).first()
-    scaled = table.select(
-        F.col(target).cast("double").alias(target),
-        *[((F.col(c).cast("double") - F.lit(moments[f"avg_{c}"]))
-           / F.lit(moments[f"stddev_pop_{c}"] or 1.0)).alias(c) for c in inputs])
-    wide = spline_features(scaled, inputs, k)
-    names = [c for c in wide.columns if c != target and c not in inputs]
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(wide)
-    model = LinearRegression(featuresCol="features", labelCol=target, regParam=ridge,
-                             solver="normal").fit(vectors.select("features", target))
-    weights = [*zip(names, map(float, model.coefficients)),
-               ("(intercept)", float(model.intercept)), ("(r2)", float(model.summary.r2))]
-    return table.sparkSession.createDataFrame(weights, "feature string, weight double")
+    wide, names = spline_design(table, inputs, target, k)
+    weights, quality = least_squares(gram(wide, [*names, target]), [*names, target], target, ridge)
+    return table.sparkSession.createDataFrame([*weights.items(), ("(r2)", quality)],
+                                              "feature string, weight double")
+
+
+def normal_residuals(table: DataFrame, weights: dict[str, float], target: str) -> DataFrame:
+    """`(feature, value)`: mean product of each feature with what the weights leave of the
+    target.  At a least-squares fit all are zero."""
+    names = [n for n in weights if n != "(intercept)"]
+    fitted = sum((F.col(n) * F.lit(weights[n]) for n in names), F.lit(weights["(intercept)"]))
+    left = table.withColumn("_left", F.col(target) - fitted)
+    means = left.agg(*[F.avg(F.col(n) * F.col("_left")).alias(n) for n in names], F.avg("_left").alias("(intercept)"))
+    return means.unpivot([], list(weights), "feature", "value")

@@ -7,7 +7,6 @@ with the smaller (left id, right id) is merged first.
 
 from __future__ import annotations
 
-import functools
 import heapq
 from collections.abc import Iterator
 
@@ -28,6 +27,8 @@ SHOWN_BYTES = [range(33, 127), range(161, 173), range(174, 256)]
 FIRST_MERGE = 257
 
 TENTATIVE = 256
+#: Pairs whose neighbours a round looks at; more of them cost reading, fewer cost rounds.
+GUESSED = 64
 #: Pairs with an index at a time, and bytes of a row group of the index.
 CANDIDATES = 8192
 INDEX_GROUP = 1 << 20
@@ -310,7 +311,7 @@ class _Index:
         roots = sorted({int(k) for found in (merged_roots, guessed_roots) for k in found[1] if k >= 0})
         entry = F.struct("n", (-F.col("symbol")).alias("symbol"))
         told = F.col("kept") | ((F.col("place") < 0) & (F.col("n") >= least))
-        found = (self.table.where(functools.reduce(Column.__or__, [F.col("root") == k for k in roots]))
+        found = (self.table.where(F.col("root").isin(roots))
                  .mapInArrow(run, "place bigint, symbol bigint, kept boolean, n bigint")
                  .groupBy("place", "symbol", "kept").agg(F.sum("n").alias("n"))
                  .groupBy("place").agg(F.max(entry).alias("top"),
@@ -474,7 +475,8 @@ def _merge_all(index: _Index, wanted: int) -> None:
         batch = sure[:wanted - len(index.merges)]
         more = len(index.merges) + len(batch) < wanted
         guess, asked = _tentative(index.ranked({(p.l, p.r) for p in batch})) if more else ([], [])
-        top, counts = index.merge(batch, guess, asked)
+        guess = guess[:GUESSED]
+        top, counts = index.merge(batch, guess, [a for a in asked if a[0] < GUESSED])
 
 
 # --- vocabulary -------------------------------------------------------------

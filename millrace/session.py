@@ -17,6 +17,8 @@ SETTINGS = {
     # Running aggregates of many keys live on executor disk, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Lists of keys reach the scan of an index as they are, not as one wide range.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "2048",
     "spark.ui.enabled": "false",
 }
 

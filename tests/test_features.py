@@ -36,3 +36,26 @@ def test_regression_finds_a_function_it_can_express(spark):
     fit = {r.feature: r.weight for r in features.additive_spline_regression(
         table, ["x"], "y", 4).collect()}
     assert fit["(r2)"] > 0.999 and "x_base" in fit and "x_k3" in fit
+
+
+def test_weights_are_those_of_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 3))
+    y = x @ [1.0, -2.0, 0.5] + 4 + rng.normal(size=500)
+    rows = [(*map(float, r), float(t)) for r, t in zip(x, y)] + [(None, 1.0, 1.0, 1.0), (1.0, math.nan, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "a double, b double, c double, y double").repartition(7)
+    sums = features.gram(table, ["a", "b", "c", "y"])
+    full = np.column_stack([x, y, np.ones(500)])
+    got = {(r.i, r.j): r.value for r in sums.collect()}
+    assert got == {(i, j): pytest.approx((full.T @ full)[i, j]) for i in range(5) for j in range(i, 5)}
+    weights, quality = features.least_squares(sums, ["a", "b", "c", "y"], "y")
+    want, *_ = np.linalg.lstsq(np.column_stack([x, np.ones(500)]), y, rcond=None)
+    assert list(weights.values()) == pytest.approx(want.tolist()) and list(weights) == ["a", "b", "c", "(intercept)"]
+    left = y - np.column_stack([x, np.ones(500)]) @ want
+    assert quality == pytest.approx(1 - left.var() / y.var())
+    known = table.where("a is not null and not isnan(b)")
+    assert all(abs(r.value) < 1e-9 for r in features.normal_residuals(known, weights, "y").collect())
+    ridged, _ = features.least_squares(sums, ["a", "b", "c", "y"], "y", 0.1)
+    penalty = np.diag([50.0, 50.0, 50.0, 0.0])
+    design = np.column_stack([x, np.ones(500)])
+    assert list(ridged.values()) == pytest.approx(np.linalg.solve(design.T @ design + penalty, design.T @ y).tolist())
