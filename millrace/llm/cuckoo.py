@@ -104,6 +104,14 @@ class CuckooIndex:
         if not self._place(digest, len(self.digests) - 1):
             self._lay_out(2 * self.buckets)
 
+    def put(self, digest: bytes, doc_id, copies: int) -> None:
+        """Set what is known of a live digest; without copies it goes."""
+        slot = self._slot(digest)
+        if slot >= 0 and copies:
+            self.first[self.rows[slot]], self.sizes[self.rows[slot]] = doc_id, copies
+        elif slot >= 0:
+            self.remove(digest)
+
     def find(self, digest: bytes) -> tuple | None:
         slot = self._slot(digest)
         return None if slot < 0 else (self.first[self.rows[slot]], self.sizes[self.rows[slot]])
@@ -206,7 +214,7 @@ def _updated(index: DataFrame, entries: DataFrame, shards: int, delete: bool) ->
         shard = (held or [{"shard": new["shard"][0].as_py() if new.num_rows else 0}])[0]["shard"]
         for digest, keep_id, size in zip(*(new[c].to_pylist() for c in new.column_names[1:])):
             if delete:
-                filter_.remove(digest)
+                filter_.put(digest, keep_id, size)
             else:
                 filter_.add(digest, keep_id, size)
         row = {"shard": shard} | filter_.to_row()
@@ -221,9 +229,17 @@ def insert(index: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
     return _updated(index, gather(rows), shards, delete=False)
 
 
-def delete(index: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
-    """The index without the digests of the rows; digests it does not hold change nothing."""
-    return _updated(index, gather(rows), shards, delete=True)
+def delete(index: DataFrame, rows: DataFrame, live: DataFrame, shards: int) -> DataFrame:
+    """The index after the rows `(doc_id, digest)` went out and `live(doc_id, digest)` are
+    left.  Of the digests of the rows, those that no live row has go; the others keep the
+    smallest id and the number of their live rows.  Digests that the index does not hold
+    change nothing."""
+    gone = rows.select("digest").distinct()
+    left = gather(live.join(gone, "digest", "left_semi")).groupBy("digest").agg(
+        F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    known = gone.join(left, "digest", "left").select(
+        "digest", "keep_id", F.coalesce("group_size", F.lit(0)).alias("group_size"))
+    return _updated(index, known, shards, delete=True)
 
 
 def entries(index: DataFrame) -> DataFrame:

@@ -63,8 +63,12 @@ def test_live_index(make_docs):
     rows = lambda ids: cuckoo.digests(make_docs([(i, f"text {i % 50}", None, None) for i in ids]))
     index = cuckoo.insert(cuckoo.empty_index(rows([0])), rows(range(100)), 4)
     index = cuckoo.insert(index, rows([3, 250]), 4)
-    index = cuckoo.delete(index, rows([7, 7, 8]), 4)
+    # Of each text two rows are there, of text 3 three; 7 loses one, 8 both, 3 its first and another.
+    left = [i for i in range(100) if i not in (7, 8, 58, 3, 53)] + [3, 250]
+    index = cuckoo.delete(index, rows([7, 8, 58, 3, 53, 400]), rows(left), 4)
     live = {r.digest: (r.keep_id, r.group_size) for r in cuckoo.entries(index).collect()}
-    assert len(live) == 48 and sum(n for _, n in live.values()) == 98
-    found = cuckoo.lookup(index, rows([7, 9, 59, 0]), 4).collect()
-    assert sorted((r.keep_id, r.group_size) for r in found) == [(0, 3), (9, 2)]
+    of = lambda i: live.get(hashlib.sha256(f"text {i}".encode()).digest())
+    assert len(live) == 49 and of(8) is None and of(7) == (57, 1) and of(3) == (3, 1) and of(9) == (9, 2)
+    assert of(0) == (0, 3) and sum(n for _, n in live.values()) == 97
+    found = cuckoo.lookup(index, rows([7, 8, 9, 59, 0]), 4).collect()
+    assert sorted((r.keep_id, r.group_size) for r in found) == [(0, 3), (9, 2), (57, 1)]
