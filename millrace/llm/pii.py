@@ -35,6 +35,8 @@ REACH = 6
 CELLS = 1 << 19
 RIDGE = 0.02
 STEPS = 150
+#: Longest word whose scores are remembered.
+MEMO_CHARS = 64
 
 # The base patterns; every run is taken whole, so they need no retries.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -44,7 +46,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TOKEN = re.compile(WORD)
-MARKED = re.compile(r"[0-9@]|\bdot\b|\(at\)|\[at\]")
+#: What may belong to personal data: a digit, an at sign or its name in brackets, "dot" as a
+#: word, and "at" before a word with a dot inside.
+MARKED = re.compile(r"[0-9@]|[(\[{<]at[)\]}>]|\bdot\b|\bat\b(?=[)\]}>]?\s+\S*\.[a-z])", re.I)
+#: Written names of the signs, alone or in brackets, and inside a word only in brackets.
+NAMED = re.compile(r"[(\[{<]?(at|dot)[)\]}>]?", re.I)
+INSIDE = re.compile(r"[(\[{<](at|dot)[)\]}>]", re.I)
 DIGITS = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -93,20 +100,25 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the model ----------------------------------------------------------------
 
+def signs(word: str) -> str:
+    """The word with names of signs in brackets as the signs: `jane[at]mail(dot)org`."""
+    return INSIDE.sub(lambda m: "@" if m[1].lower() == "at" else ".", word) if len(word) > 5 else word
+
+
 def shape(word: str) -> str:
     """The word with letters as x, digits as d, at most three of a kind in a row."""
-    if word in ("at", "dot", "(at)", "(dot)", "[at]", "[dot]"):
-        return word
-    plain = re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]", "x", word[:64]))
+    if named := NAMED.fullmatch(word):
+        return named[1].lower() if len(named[0]) == len(named[1]) else f"[{named[1].lower()}]"
+    plain = re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]", "x", signs(word)))
     return re.sub(r"(.)\1{3,}", r"\1\1\1", plain)
 
 
 def shape_features(word: str) -> list[str]:
-    digits = len(DIGITS.findall(word[:64]))
-    s = shape(word)
-    return [f"shape={s}", f"digits={min(digits, 20)}", f"dots={min(word[:64].count('.'), 4)}",
-            f"at={'@' in word}", f"plus={word[:1] == '+'}", f"ends={s[:1]}{s[-1:]}",
-            f"letters={any(c.isalpha() for c in word[:64])}"]
+    """Features of the whole word, however long."""
+    plain, s = signs(word), shape(word)
+    return [f"shape={s}", f"digits={min(len(DIGITS.findall(word)), 20)}", f"dots={min(plain.count('.'), 4)}",
+            f"at={'@' in plain}", f"plus={word[:1] == '+'}", f"ends={s[:1]}{s[-1:]}",
+            f"letters={any(c.isalpha() for c in word)}"]
 
 
 @dataclass
@@ -118,8 +130,6 @@ class Field:
 
     def scores(self, word: str) -> np.ndarray:
         """Label scores that a word gives itself, its successor and its predecessor."""
-        if len(word) > 64:
-            word = word[:64]
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) > 100_000:
@@ -130,7 +140,8 @@ class Field:
                     w = self.weights.get(f"{side}:{f}")
                     if w is not None:
                         found[side] += w
-            self.memo[word] = found
+            if len(word) <= MEMO_CHARS:
+                self.memo[word] = found
         return found
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -179,12 +190,16 @@ def labelled_table(rows: int = 400, seed: int = 11) -> list[tuple[list[str], lis
     letters = lambda n: "".join(chr(97 + int(c)) for c in draw.integers(0, 26, n))
     name = lambda: letters(int(draw.integers(2, 8)))
     host = lambda: pick([f"{name()}.{pick(['com', 'org', 'net', 'de'])}",
-                         f"mail{number(1)}.{name()}.com"])
+                         f"mail{number(1)}.{name()}.com", f"{name()}.{name()}.com"])
     octets = lambda: [str(int(o)) for o in draw.integers(1, 255, 4)]
     private = [
         (1, lambda: f"{name()}.{number(2)}@{host()}"), (1, lambda: f"{name()}@{host()}"),
         (1, lambda: f"{name()} at {name()} dot com"), (1, lambda: f"{name()} (at) {host()}"),
         (1, lambda: f"{name()}[at]{host()}"), (1, lambda: f"{name()} @ {host()}"),
+        (1, lambda: f"{name()} at {host()}"), (1, lambda: f"{name()} [at] {host()}"),
+        (1, lambda: f"{name()} {pick(['at', '(at)', '[at]', '{at}'])} {name()} {pick(['dot', '(dot)', '[dot]'])} com"),
+        (1, lambda: f"{name()} at {name()} dot com".upper()), (1, lambda: f"{name()} (at) {host()}".upper()),
+        (1, lambda: f"{name()}(at){host()}"), (1, lambda: f"{name()}(at){name()}(dot)org"),
         (2, lambda: ".".join(octets())), (2, lambda: ".".join(octets()) + ":" + number(4)),
         (3, lambda: number(16)), (3, lambda: " ".join(number(4) for _ in range(4))),
         (3, lambda: ".".join(number(4) for _ in range(4))), (3, lambda: number(15)),
@@ -293,8 +308,11 @@ def model() -> Field:
 def windows(text: str, words: list[re.Match]) -> list[tuple[int, int]]:
     """Ranges of words around those that may belong to personal data."""
     out: list[list[int]] = []
-    for i, word in enumerate(words):
-        if MARKED.search(text, word.start(), word.end()):
+    i = 0
+    for mark in MARKED.finditer(text):
+        while i < len(words) and words[i].end() <= mark.start():
+            i += 1
+        if i < len(words) and words[i].start() < mark.end():
             low, high = max(0, i - REACH), min(len(words), i + REACH + 1)
             if out and low <= out[-1][1]:
                 out[-1][1] = high
@@ -306,8 +324,8 @@ def windows(text: str, words: list[re.Match]) -> list[tuple[int, int]]:
 def _holds(kind: int, value: str) -> bool:
     digits = "".join(DIGITS.findall(value))
     if kind == 0:
-        return re.search(r"@|\bat\b", value) is not None and \
-            re.search(r"\.[A-Za-z]|\bdot\b", value) is not None and len(value) <= 254
+        return re.search(r"@|\bat\b", value, re.I) is not None and \
+            re.search(r"\.[a-z]|\bdot\b", value, re.I) is not None and len(value) <= 254
     if kind == 1:
         return is_ip(value.split(":")[0].split("."))
     if kind == 2:

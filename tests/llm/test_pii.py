@@ -63,6 +63,53 @@ def test_added_spans():
     assert got[2] == [("phone", 3, 20, True), ("email", 25, 31, True)] and got[3] == got[4] == []
 
 
+@pytest.mark.parametrize("text,mail", [
+    ("write to john at example.com", "john at example.com"), ("reach john (AT) example.com now", "john (AT) example.com"),
+    ("ask john [at] example.com today", "john [at] example.com"), ("WRITE TO JOHN AT EXAMPLE DOT COM", "JOHN AT EXAMPLE DOT COM"),
+    ("send jane(at)example.com", "jane(at)example.com"), ("mail jane[at]example.org now", "jane[at]example.org"),
+    ("mail jane(at)example(dot)org now", "jane(at)example(dot)org"), ("mail ann at mail dot com now", "ann at mail dot com")])
+def test_written_out_addresses(text, mail):
+    [[(kind, start, end, base)]] = pii.find([text], pii.model())
+    assert kind == "email" and not base and mail in text[start:end]
+
+
+def test_words_count_whole():
+    tail = "x" * 70 + "[at]mail.example.com"
+    assert pii.shape_features(tail) != pii.shape_features("x" * 90) and "at=True" in pii.shape_features(tail)
+    assert "digits=20" in pii.shape_features("x" * 100 + "7" * 40)
+    assert pii.find(["mail " + tail + " now"], pii.model())[0] == [("email", 5, 5 + len(tail), False)]
+    assert pii.find(["look at this. at home we eat at six dots"], pii.model()) == [[]]
+
+
+def test_marginals_by_enumeration_and_gradient_by_differences():
+    draw = np.random.default_rng(7)
+    sizes = np.array([3, 1, 4])
+    scores, pairs = draw.normal(size=(4, 3, 5)), draw.normal(size=(5, 5))
+    share, pair = pii._marginals(scores, pairs, sizes)
+    want, want_pair, total = np.zeros_like(share), np.zeros_like(pair), 0.0
+
+    def value(path, s):
+        return sum(scores[t, s, l] for t, l in enumerate(path)) + sum(pairs[a, b] for a, b in zip(path, path[1:]))
+
+    for s, n in enumerate(sizes):
+        paths = list(itertools.product(range(5), repeat=int(n)))
+        weights = np.exp([value(p, s) for p in paths])
+        total += np.log(weights.sum())
+        for p, w in zip(paths, weights / weights.sum()):
+            for t, l in enumerate(p):
+                want[t, s, l] += w
+            for a, b in zip(p, p[1:]):
+                want_pair[a, b] += w
+    assert np.allclose(share, want) and np.allclose(pair, want_pair)
+    norm = lambda: sum(np.log(sum(np.exp(value(p, s)) for p in itertools.product(range(5), repeat=int(n))))
+                       for s, n in enumerate(sizes))
+    scores[2, 0, 3] += 1e-5
+    assert (norm() - total) / 1e-5 == pytest.approx(share[2, 0, 3], abs=1e-4)
+    scores[2, 0, 3] -= 1e-5
+    pairs[1, 2] += 1e-5
+    assert (norm() - total) / 1e-5 == pytest.approx(pair[1, 2], abs=1e-4)
+
+
 def test_a_long_text_does_not_pad_the_others(monkeypatch):
     draw = random.Random(4)
     numbers = " ".join(str(draw.randint(0, 10 ** draw.randint(1, 9))) for _ in range(99_996))
