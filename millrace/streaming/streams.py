@@ -16,6 +16,7 @@ from millrace.operators.clean import clean
 from millrace.operators.retrieve import knn
 from millrace.operators.runlog import skip_nan
 from millrace.session import names_in, path_exists, remove
+from millrace.sources.vectors import snapshot, versions
 
 
 #: The monitor's batches are merged into one after so many.
@@ -93,10 +94,18 @@ def read_monitor(spark: SparkSession, out: str) -> DataFrame:
     return newest.select("run_id", "last.*", *[c for c in newest.columns if c not in ("run_id", "last")])
 
 
-def answer_stream(stream: DataFrame, corpus: DataFrame, k: int, out: str,
+def answer_stream(stream: DataFrame, corpus: DataFrame | str, k: int, out: str,
                   once: bool = True, checkpoint: str | None = None) -> StreamingQuery:
-    """Exact top-k hits for each arriving `(query_id, embedding)`."""
+    """Exact top-k hits for each arriving `(query_id, embedding)`, over a table of vectors or
+    over a vector store by its path: each batch searches the newest version, whose number
+    its hits carry as `version`."""
     def search(batch: DataFrame, number: int) -> None:
-        knn(batch, corpus, k).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not isinstance(corpus, str):
+            found = knn(batch, corpus, k)
+        else:
+            version = (versions(batch.sparkSession, corpus) or [0])[-1]
+            known = snapshot(batch.sparkSession, corpus, version or None)
+            found = knn(batch, known, k).withColumn("version", F.lit(version))
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _start(stream.writeStream.foreachBatch(search), out, checkpoint, once)
