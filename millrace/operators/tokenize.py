@@ -282,6 +282,8 @@ class _Index:
         for k, p in enumerate(batch):
             self.merges.append(Row(left_id=p.l, right_id=p.r, rank=len(self.merges), new_id=first_new + k))
             self.root_of_symbol[first_new + k] = self.root[p.l, p.r]
+        for p in guess:
+            self._root_of(p.l, p.r)
         now = _ranked(self.merges[len(self.merges) - len(batch):])
         merged_roots, guessed_roots = self._roots(batch), self._roots(guess)
         tracked = np.array(sorted((left << 32) | right for left, right in self.counts), np.int64)
@@ -325,10 +327,13 @@ class _Index:
         return ({(r.place >> 1, r.place & 1): tuple(r.top) for r in beside},
                 {(r.place >> 1, r.place & 1, t.symbol): t.n for r in beside for t in r.told})
 
+    def _root_of(self, left: int, right: int) -> None:
+        """A pair made since the index is in the words of the root of its new symbol."""
+        if (left, right) not in self.root:
+            self.root[left, right] = self.root_of_symbol[left if left in self.root_of_symbol else right]
+
     def _count(self, pair: tuple[int, int], change: int) -> None:
-        if pair not in self.counts:
-            symbol = pair[0] if pair[0] in self.root_of_symbol else pair[1]
-            self.root[pair] = self.root_of_symbol[symbol]
+        self._root_of(*pair)
         n = self.counts.get(pair, 0) + change
         if n >= self.least:
             self.counts[pair] = n
@@ -473,8 +478,17 @@ def _merge_all(index: _Index, wanted: int) -> None:
             ranked, chosen, {(place[i], s): t for (i, s), t in top.items() if i in place},
             {(place[i], s, x): n for (i, s, x), n in counts.items() if i in place}, set(number))
         batch = sure[:wanted - len(index.merges)]
-        more = len(index.merges) + len(batch) < wanted
-        guess, asked = _tentative(index.ranked({(p.l, p.r) for p in batch})) if more else ([], [])
+        if len(index.merges) + len(batch) == wanted:
+            index.merge(batch, [], [])
+            return
+        # A merge makes its most frequent new pairs with the symbols most often beside it.
+        made = []
+        for new, p in enumerate(batch, index.first_id + len(index.merges)):
+            for side in (0, 1):
+                n, symbol = top.get((number.get((p.l, p.r)), side), (0, 0))
+                made += [Row(l=-symbol, r=new, n=n) if side == 0 else Row(l=new, r=-symbol, n=n)] if n else []
+        likely = sorted(index.ranked({(p.l, p.r) for p in batch}) + made, key=_place, reverse=True)
+        guess, asked = _tentative(likely[:TENTATIVE])
         guess = guess[:GUESSED]
         top, counts = index.merge(batch, guess, [a for a in asked if a[0] < GUESSED])
 
