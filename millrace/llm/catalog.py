@@ -143,22 +143,27 @@ def shape_crf(spark: SparkSession, folder: str) -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
-def _link_sql(src: str, dst: str, seed: str, steps: int = links.STEPS) -> str:
-    """Scores after the steps, as a chain of tables s0, s1, ... for one direction."""
+def _link_sql(src: str, dst: str, seed: str) -> str:
+    """Scores of one direction after all steps, in table `<seed initial>`."""
     name = seed[0]
-    tables = [f"""{name}w as (select {src} as src, {dst} as dst, count(*) over (partition by {src}) as degree
+    start = f"cast(round({seed} * cast({1 - links.DAMPING!r} as double)) as bigint)"
+    return f"""{name}w as (select {src} as src, {dst} as dst, count(*) over (partition by {src}) as degree
       from host_links),
-{name}0 as (select host, cast(round({seed} * cast({1 - links.DAMPING!r} as double)) as bigint) as score from hosts)"""]
-    for k in range(1, steps + 1):
-        tables.append(f"""{name}{k} as (
-  select z.host, z.score + cast(floor(coalesce(p.n, 0) * cast({links.DAMPING} as double)) as bigint) as score
-  from {name}0 z left join (select dst as host, sum(score // degree) as n from {name}w
-    join {name}{k - 1} s on s.host = src group by dst) p using (host))""")
-    return ",\n".join(tables)
+{name}s as (
+  select 0 as step, host, {start} as score from hosts
+  union all
+  select step + 1, host, first + cast(floor(coalesce(n, 0) * cast({links.DAMPING} as double)) as bigint)
+  from (
+    select s.step, h.host, any_value({start}) as first, sum(w.part) as n
+    from (select distinct step from {name}s) s cross join hosts h
+    left join (select dst, score // degree as part from {name}s join {name}w on {name}s.host = {name}w.src) w
+      on w.dst = h.host
+    group by s.step, h.host) where step < {links.STEPS}),
+{name} as (select host, score from {name}s where step = {links.STEPS})"""
 
 
 URL_SQL = rf"""
-with cut as (
+with recursive cut as (
   select page_id, html, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as r
   from pages),
 located as (
@@ -193,7 +198,7 @@ hosts as (
 select page_id, j.host, path, rule, t.score as trust, d.score as distrust,
        coalesce(v, case when d.score - t.score > {int(links.MARGIN * (1 - links.DAMPING) * links.UNIT)}
                         then 'block' else 'allow' end) as verdict
-from judged j left join g{links.STEPS} t on t.host = j.host left join b{links.STEPS} d on d.host = j.host"""
+from judged j left join g t on t.host = j.host left join b d on d.host = j.host"""
 
 
 @query("op7_link_trust", URL_SQL)
