@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.registry import (QA, hash_sql, joined, joined_sql, query, strip_sql,
+from millrace.catalog.registry import (DOCS, QA, hash_sql, joined, joined_sql, query, strip_sql,
                                        word_ids_sql)
+from millrace.catalog.tokens import TRAINING, VOCAB
 from millrace.functions.text import word_ids
-from millrace.operators import finetune, retrieve
+from millrace.operators import finetune, retrieve, tokenize
+from millrace.operators.clean import limit_kept
+from millrace.operators.tokenize import FIRST_MERGE
+from millrace.plans.finetune import finetune_batches
 from millrace.plans.views import WORD_EOT, qa
 
 CAP = 400
@@ -87,6 +91,30 @@ def padded_in_order(spark, sf_dir):
     return batch_rows(finetune.padded_batches(placed, WORD_EOT))
 
 
+QA_VOCAB, QA_LIMIT = 300, 30
+
+QA_TRAINING = TRAINING.replace(DOCS, EXAMPLES + """,
+docs as (select qa_id as doc_seq, replace(example, '<|endoftext|>', '') as text from examples
+         order by qa_id limit 30)""").replace(
+    f"t.step < {VOCAB - FIRST_MERGE}", f"t.step < {QA_VOCAB - FIRST_MERGE}")
+
+
+@query("finetune_batches", f"""
+with {QA_TRAINING},
+tokens_of as (select doc_seq as qa_id, list_slice(list_append(ids, 0), 1, 512) as ids from encoded),
+placed as (
+  select *, row_number() over (order by {hash_sql("'42'", "'0'", 'qa_id')}, qa_id) - 1 as place
+  from tokens_of){BATCHES}
+select batch, row, qa_id, {joined_sql('x')} as x, {joined_sql('y')} as y from padded""")
+def trained_finetune_batches(spark, sf_dir):
+    """From records to batches, with a tokenizer learned from the examples themselves."""
+    records = qa(spark, sf_dir)
+    body = limit_kept(examples(spark, sf_dir), "qa_id", QA_LIMIT).select(
+        F.replace("example", F.lit(finetune.END_TEXT), F.lit("")).alias("text"))
+    merges = tokenize.train(tokenize.pre_token_counts(body), QA_VOCAB)
+    return batch_rows(finetune_batches(records, merges, QA_LIMIT, max_answer=CAP))
+
+
 @query("cycled_steps", f"""
 with {EXAMPLES},
 n as (select cast(ceil(count(*) / 8.0) as bigint) as batches from examples),
