@@ -17,6 +17,7 @@ gives no rows; columns other than id and text are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import struct
 import unicodedata
@@ -34,7 +35,7 @@ from millrace.llm.common import small_batches
 MEMO_WORDS = 150_000
 MEMO_PAIRS = 150_000
 #: Text that is cut into words at a time: the words of a text take many times its bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 21
 
 
 def byte_symbols() -> list[str]:
@@ -79,10 +80,19 @@ class TrieEncoder:
         last = {t[:-len(self.end)]: i for t, i in self.ids.items()
                 if i in sound and t.endswith(self.end)}
         self.inner, self.final = body, last
-        self.longest = max(map(len, [*body, *last]))
-        self.words: dict[str, bytes] = {}
+        # By the last three symbols: the longest token that ends in them.
+        self.reach_inner, self.reach_final = self._reach(body), self._reach(last)
+        self.words: dict[str | int, bytes] = {}
         self.fit: dict[int, bool] = {}
 
+    @staticmethod
+    def _reach(tokens: dict[str, int]) -> dict[str, int]:
+        reach: dict[str, int] = {}
+        for token in tokens:
+            if len(token) > 2:
+                reach[token[-3:]] = max(len(token), reach.get(token[-3:], 0))
+        return reach
+
     def _fits(self, left: int, right: int, before: float = float("inf")) -> bool:
         """Whether no merge ranked under `before` crosses from `left` into `right`.
 
@@ -128,7 +138,8 @@ class TrieEncoder:
         out: dict[str, tuple[int, ...]] = {}
         last: list[int] = [-1]  # at each depth of the current path: its last token,
         back: list[int] = [-1]  # and the depth before that token
-        inner, final, fit, longest = self.inner.get, self.final.get, self.fit.get, self.longest
+        inner, final, fit = self.inner.get, self.final.get, self.fit.get
+        reach_inner, reach_final = self.reach_inner.get, self.reach_final.get
         previous = ""
         for word in sorted(words):
             size, shared = len(word), 0
@@ -139,8 +150,9 @@ class TrieEncoder:
             del last[shared + 1:], back[shared + 1:]
             previous = word
             for depth in range(len(last), size + 1):
-                find = inner if depth < size else final
-                for start in range(depth - longest if depth > longest else 0, depth):
+                find, reach = (inner, reach_inner) if depth < size else (final, reach_final)
+                first = depth - reach(word[depth - 3:depth], 2) if depth > 2 else 0
+                for start in range(first if first > 0 else 0, depth):
                     token = find(word[start:depth])
                     if token is None:
                         continue
@@ -193,15 +205,14 @@ class TrieEncoder:
         split = [self._split(text) for text in texts]
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
-        new = {w for words in split for w in words if type(w) is str} - self.words.keys()
+        words = self.words
+        new = [w for w in set(itertools.chain.from_iterable(split)) if w not in words]
         symbols = {w: w if w.isascii() and w.isprintable() and " " not in w else
-                   "".join([self.symbols[b] for b in w.encode()]) for w in new}
+                   "".join([self.symbols[b] for b in w.encode()]) for w in new if type(w) is str}
         made = {s: struct.pack(f"<{len(ids)}I", *ids)
                 for s, ids in self.encode_words(list(set(symbols.values()))).items()}
-        words = self.words
-        words.update((w, made[s]) for w, s in symbols.items())
-        return [b"".join([words[p] if type(p) is str else struct.pack("<I", p) for p in pieces])
-                for pieces in split]
+        words.update((w, made[symbols[w]] if type(w) is str else struct.pack("<I", w)) for w in new)
+        return [b"".join(map(words.__getitem__, pieces)) for pieces in split]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
@@ -209,7 +220,6 @@ class TrieEncoder:
 
     def forget(self) -> None:
         self.words.clear()
-        self.fit.clear()
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -268,7 +278,7 @@ def _mapped(rows: DataFrame, vocabulary: str, column: str, schema: str, function
         for batch in batches:
             for part in slices(batch, column):
                 yield function(sent.value, part)
-        encoder(sent.value).forget()  # workers are reused: nothing is kept for the next task
+        encoder(sent.value).forget()  # workers are reused: no words are kept for the next task
 
     return rows.mapInArrow(run, schema)
 
