@@ -50,6 +50,24 @@ def test_threshold_is_a_score_quantile():
     assert np.mean(model.score(x) < quality.THRESHOLD) == pytest.approx(0.25, abs=0.02)
 
 
+def test_quality_learns_from_all_labelled_rows(spark, make_docs, monkeypatch):
+    """The model of a table is that of all its labelled rows, however many they are."""
+    monkeypatch.setattr(quality, "BIN_ROWS", 50)
+    draw = random.Random(5)
+    texts = {i: " ".join(draw.choice(["fine", "Words", "##", "a", "12"]) for _ in range(draw.randrange(3, 12)))
+             for i in range(12_000)}
+    good = {i: int(draw.random() < (0.2 if "##" in t else 0.9)) for i, t in texts.items()}
+    docs = make_docs([(i, t, "en", "s") for i, t in texts.items()])
+    model = quality.learn(docs, labels_of(spark, [(i, y, 1, None, None) for i, y in good.items()]))
+    ids = [i for i in texts if zlib.crc32(str(i).encode()) % quality.FOLDS != quality.HELD_OUT]
+    by_hash = spark.createDataFrame([(i,) for i in ids], "doc_id bigint").selectExpr("doc_id", "xxhash64(doc_id) h")
+    ids = [r.doc_id for r in sorted(by_hash.collect(), key=lambda r: (r.h, r.doc_id))]
+    want = quality.fit(np.array([quality.features(texts[i]) for i in ids]), np.array([good[i] for i in ids]),
+                       1 - sum(good[i] for i in ids) / len(ids))
+    assert np.allclose(model.centre, want.centre) and np.allclose(model.scale, want.scale)
+    assert np.allclose(model.weights, want.weights, atol=1e-6) and model.cut == pytest.approx(want.cut, abs=1e-6)
+
+
 def test_swapped_groups_change_less(spark, make_docs):
     """A group named in most toxic texts of the sample: the penalty takes its weight away."""
     draw = random.Random(8)
