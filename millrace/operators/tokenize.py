@@ -29,8 +29,10 @@ FIRST_MERGE = 257
 TENTATIVE = 256
 #: Pairs whose neighbours a round looks at; more of them cost reading, fewer cost rounds.
 GUESSED = 64
-#: Pairs with an index at a time, and bytes of a row group of the index.
+#: Pairs with an index at a time, at most and at least, and bytes of a row group of the index.
+#: Few pairs leave short parts of words and so few distinct ones; more of them save indexes.
 CANDIDATES = 8192
+FEW_CANDIDATES = 64
 INDEX_GROUP = 1 << 20
 MEMO_WORDS = 500_000
 _NONE = np.iinfo(np.int64).max
@@ -194,8 +196,34 @@ def _top_pairs(work: DataFrame, min_frequency: int, limit: int) -> list:
     return counted.orderBy(F.col("n").desc(), "l", "r").limit(limit).collect()
 
 
+def _segments(work: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The distinct parts of words, cut wherever two neighbours are none of the pairs.
+
+    With the most frequent pairs given, nothing else is merged while the next pair comes
+    before all others: whatever crosses a cut later is at most as frequent as the pair
+    that was cut, and has larger symbols.  Long tails of rare words fall together to
+    few parts, whose counts are summed; a part of one symbol holds no pair.
+    """
+    sorted_keys = np.array(sorted((left << 32) | right for left, right in pairs), np.int64)
+
+    def run(batches):
+        for batch in batches:
+            flat, word = _unpack(batch)
+            if not len(flat):
+                continue
+            keys, same = _pairs(flat, word)
+            begin = np.flatnonzero(np.r_[True, ~(_find(keys, sorted_keys)[1] & same)])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(flat)].astype(np.int32)),
+                                             pa.array(flat.astype(np.int32)))
+            long = np.diff(np.r_[begin, len(flat)]) > 1
+            yield pa.RecordBatch.from_arrays(
+                [lists, pa.array(batch["n"].to_numpy()[word[begin]])], ["ids", "n"]).filter(pa.array(long))
+
+    return work.mapInArrow(run, _WORK).groupBy("ids").agg(F.sum("n").alias("n"))
+
+
 def _postings(work: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """The index `(root, ids, n)`: each word under every listed pair it holds.
+    """The index `(root, ids, n)`: each row of `work` under every listed pair it holds.
 
     Words stay in their partition and are sorted by root there, so every file spreads over
     all roots, and small row groups let a round read the roots it asks for and no others.
@@ -244,7 +272,7 @@ class _Index:
     Candidates are the most frequent pairs when the index is made; no other old pair can
     ever pass `floor`, for merges only lower the counts of old pairs.  A pair made since
     then lies in words that held the root of its new symbol.  The driver holds counts of
-    candidates and of new pairs above the floor.
+    candidates and of new pairs above the floor.  The words are indexed by their segments.
     """
 
     def __init__(self, work: DataFrame, ranked: list, floor: tuple | None, least: int, first_id: int):
@@ -254,7 +282,7 @@ class _Index:
         self.root_of_symbol: dict[int, int] = {}
         self.floor, self.least, self.first_id = floor, max(least, floor[0] if floor else 0), first_id
         self.merges: list[Row] = []
-        self.table = _postings(work, self.candidates)
+        self.table = _postings(_segments(work, self.candidates), self.candidates)
 
     def ranked(self, without: set = frozenset(), limit: int = TENTATIVE) -> list[Row]:
         """The most frequent pairs that are certain to come before any pair unknown here."""
@@ -299,9 +327,12 @@ class _Index:
                 flat, word = _unpack(rows)
                 changed = root == _chosen_roots(flat, word, len(rows), merged_roots)
                 looked = root == _chosen_roots(flat, word, len(rows), guessed_roots)
-                flat, word = _merge_words(flat, word, len(rows), past)
+                used = changed | looked
+                flat, word, n = _selected(flat, word, n, used)
+                changed, looked = changed[used], looked[used]
+                flat, word = _merge_words(flat, word, len(n), past)
                 before_keys, before = _counted(*_selected(flat, word, n, changed))
-                flat, word = _merge_words(flat, word, len(rows), now)
+                flat, word = _merge_words(flat, word, len(n), now)
                 after_keys, after = _counted(*_selected(flat, word, n, changed))
                 keys, sums = _summed(np.r_[before_keys, after_keys], np.r_[-before, after])
                 known = _find(keys, tracked)[1]
@@ -421,12 +452,13 @@ def train(counts: DataFrame, vocab_size: int, min_frequency: int = 2,
           candidates: int = CANDIDATES) -> DataFrame:
     """Merges `(rank, left_id, right_id, new_id)` learned from `counts(word, n)`.
 
-    Only the table of distinct words is worked on.  Its most frequent pairs get an index
-    from pair to words; a round is one job over the words that hold the pairs it merges
-    or is about to merge, takes all top pairs whose order is certain, and changes the
-    counts by what these words lose and gain.  Once no indexed pair is certain to come
-    first, the words are merged, counted and indexed anew.  The driver holds merges and
-    candidates only, both bounded by parameters.
+    Only the table of distinct words is worked on.  Words are cut where no frequent pair
+    joins them, and the most frequent pairs get an index from pair to the distinct parts; a
+    round is one job over the parts that hold the pairs it merges or is about to merge,
+    takes all top pairs whose order is certain, and changes the counts by what these parts
+    lose and gain.  Once no indexed pair is certain to come first, the words are merged,
+    counted, cut and indexed anew.  The driver holds merges and candidates only, both
+    bounded by parameters.
     """
     spark = counts.sparkSession
     table = byte_ids()
@@ -444,8 +476,7 @@ def train(counts: DataFrame, vocab_size: int, min_frequency: int = 2,
     merges: list[tuple[int, int]] = []
     wanted = max(0, vocab_size - FIRST_MERGE)
     while len(merges) < wanted:
-        # Few merges left need few candidates.
-        most = min(candidates, max(TENTATIVE, 2 * (wanted - len(merges))))
+        most = min(candidates, max(FEW_CANDIDATES, (wanted - len(merges)) // 2))
         ranked = _top_pairs(work, min_frequency, most + 1)
         if not ranked:
             break

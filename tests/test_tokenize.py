@@ -94,6 +94,23 @@ def test_a_round_reads_the_words_it_asks_for(spark, docs, monkeypatch):
     assert "PushedFilters: [" in plan and "In(root," in plan
 
 
+def test_rare_words_fall_together_in_the_index(spark, monkeypatch):
+    """Words that differ only where nothing frequent joins them are few parts in the index."""
+    words = spark.createDataFrame(
+        [(" there" + chr(0x4E00 + i) + "here", 1) for i in range(2000)]
+        + [(f"{a}{b}", 50) for a in "abcdef" for b in "uvwxyz"], "word string, n long")
+    made, postings = [], tokenize._postings
+
+    def watched(work, pairs):
+        made.append(work.count())
+        return postings(work, pairs)
+
+    monkeypatch.setattr(tokenize, "_postings", watched)
+    merges = tokenize.train(words, 262)
+    texts = tokenize.merge_texts(merges, tokenize.vocabulary(merges)).orderBy("rank").collect()
+    assert [r.left + r.right for r in texts][0] == "er" and max(made) < 200
+
+
 def test_training_stops_without_frequent_pairs(spark):
     words = spark.createDataFrame([("zy", 1), ("ba", 1)], "word string, n long")
     merges = tokenize.train(words, 900)
