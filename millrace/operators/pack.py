@@ -24,11 +24,9 @@ def pack(docs: DataFrame, chunk: Column | None = None) -> DataFrame:
     """
     sized = docs if "n_tokens" in docs.columns else docs.withColumn("n_tokens",
                                                                     F.size("token_ids"))
-    sums = {"start_pos": F.col("n_tokens").cast("bigint")}
     if chunk is not None:
-        return before(sized, [], chunk, ["doc_seq"], sums)
-    placed = ranked(sized, ["doc_seq"])
-    return before(placed, [], chunk_of("_rank"), ["_rank"], sums).drop("_rank")
+        return before(sized, [], chunk, ["doc_seq"], {"start_pos": F.col("n_tokens").cast("bigint")})
+    return ranked(sized, ["doc_seq"], "_rank", {"start_pos": "n_tokens"}).drop("_rank")
 
 
 def stream_length(docs: DataFrame) -> Column:

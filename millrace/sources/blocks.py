@@ -22,7 +22,7 @@ _BLOCKS = "block BIGINT, n_tokens INT, token_ids ARRAY<INT>"
 
 def write_blocks(pieces: DataFrame, folder: str, size: int = BLOCK) -> None:
     """Store `pieces(split, start_pos, n_tokens, token_ids)`, whose positions count from 0
-    without gaps in each split.  Every token is shuffled once; a group is one block."""
+    without gaps in each split.  Every token is shuffled once, to the range of its block."""
     spark = pieces.sparkSession
     first, last = F.expr(f"start_pos div {size}"), F.expr(f"(start_pos + n_tokens - 1) div {size}")
     cut = (pieces.where("n_tokens > 0")
@@ -31,10 +31,11 @@ def write_blocks(pieces: DataFrame, folder: str, size: int = BLOCK) -> None:
     begin = F.greatest(lead, F.lit(0))
     parts = cut.select("split", "block", (F.col("start_pos") + begin).alias("pos"), F.slice(
         "token_ids", (begin + 1).cast("int"), (lead + size - begin).cast("int")).alias("part"))
-    blocks = parts.groupBy("split", "block").agg(
+    # Ranges of blocks hold whole blocks, so grouping them moves nothing again.
+    blocks = parts.repartitionByRange("split", "block").groupBy("split", "block").agg(
         F.sort_array(F.collect_list(F.struct("pos", "part"))).alias("parts")).select(
         "split", "block", F.flatten(F.transform("parts", lambda p: p.part)).alias("token_ids"))
-    (blocks.withColumn("n_tokens", F.size("token_ids")).repartitionByRange("split", "block")
+    (blocks.withColumn("n_tokens", F.size("token_ids"))
      .sortWithinPartitions("split", "block").select("split", "block", "n_tokens", "token_ids")
      .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("split").parquet(f"{folder}/blocks"))
     stored = _stored(spark, folder)

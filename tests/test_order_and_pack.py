@@ -151,3 +151,16 @@ def test_skipped_steps_add_no_tokens(spark):
                                 "run_id string, line_no long, train_loss double")
     got = [r.ledger for r in pack.tokens_seen(log, 2, 5).orderBy("run_id", "line_no").collect()]
     assert got == [10, 10, 20, 0]
+
+
+def test_packing_moves_tokens_once(spark):
+    """Positions come with the sorted files: nothing but file totals is exchanged after them."""
+    rows = [(i * 7919 % 501 - 250, [i] * (i % 5), None if i % 50 == 3 else i % 5) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_seq long, token_ids array<int>, n_tokens int").repartition(5)
+    packed = pack.pack(docs)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "_chunk" not in plan and "SortMergeJoin" not in plan
+    want, at = {}, 0
+    for seq, ids, n in sorted(rows, key=lambda r: r[0]):
+        want[seq], at = (at, ids), at + (n or 0)
+    assert {r.doc_seq: (r.start_pos, r.token_ids) for r in packed.collect()} == want
