@@ -37,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words."""
     rows, row = with_row(docs)
-    groups = neardup.near_duplicates(_by_row(rows, row)).select("doc_id", "component_id")
+    groups = neardup.near_duplicates(_by_row(rows, row), row="doc_id").select("doc_id", "component_id")
     return _first_of_each(rows, row, groups)
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from millrace import session
 from millrace.llm import catalog, quality
 from test_mixing import brute_targets, check
 from test_neardup import brute as near_groups
@@ -126,3 +127,13 @@ def test_mix_of_rows_without_ids(spark, crowd):
     for source, target in brute_targets({s: words(given, s) for s in ("s0", "s1", "s2")}).items():
         assert abs(words(out, source) - target) <= 41
     assert all(n <= 2 * Counter(given)[r] for r, n in Counter(out).items())
+
+
+def test_copies_stages_do_not_write_texts_again(spark, monkeypatch):
+    """Rows of files have a key already; both stages write digests and hashes only."""
+    docs, paths, folder = spark.read.parquet(f"{FOLDER}/documents.parquet"), [], session.shared_folder
+    monkeypatch.setattr(session, "shared_folder", lambda *of: paths.append(folder(*of)) or paths[-1])
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
+        stage(spark, docs, FOLDER)
+    assert any("/signatures-" in p for p in paths)
+    assert not [p for p in paths if "text" in spark.read.parquet(p).columns]
