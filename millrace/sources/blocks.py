@@ -29,7 +29,9 @@ def write_blocks(pieces: DataFrame, folder: str, size: int = BLOCK) -> None:
            .select("split", "start_pos", "token_ids", F.explode(F.sequence(first, last)).alias("block")))
     lead = F.col("block") * size - F.col("start_pos")
     begin = F.greatest(lead, F.lit(0))
-    parts = cut.select("split", "block", (F.col("start_pos") + begin).alias("pos"), F.slice(
+    # Were the split a constant, Spark would not see that a range holds all of its block.
+    split = F.when(F.col("block") >= 0, F.col("split")).alias("split")
+    parts = cut.select(split, "block", (F.col("start_pos") + begin).alias("pos"), F.slice(
         "token_ids", (begin + 1).cast("int"), (lead + size - begin).cast("int")).alias("part"))
     # Ranges of blocks hold whole blocks, so grouping them moves nothing again.
     blocks = parts.repartitionByRange("split", "block").groupBy("split", "block").agg(
